@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import canonical
+from millrace.llm import canonical, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -41,6 +41,23 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.collapsed_records(_all_records(spark, sf_dir))
 
 
+@_query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = splits.linked_groups(_read(spark, sf_dir, "test_groot"))
+    return groups.filter("first < rec").select(F.col("first").alias("first_id"), F.col("rec").alias("row_id"))
+
+
+@_query
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(_read(spark, sf_dir, "test_groot"), _read(spark, sf_dir, "split_targets"))
+
+
+@_query
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "test_groot")
+    return splits.split_report(p3_splits(spark, sf_dir), rows, _read(spark, sf_dir, "split_targets"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
