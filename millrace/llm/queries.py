@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import canonical, splits
+from millrace.llm import canonical, neardup, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -58,6 +58,16 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_report(p3_splits(spark, sf_dir), rows, _read(spark, sf_dir, "split_targets"))
 
 
+@_query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.NearDuplicates(_read(spark, sf_dir, "mock_data")).record_pairs()
+
+
+@_query
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.NearDuplicates(_read(spark, sf_dir, "mock_data")).groups()
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
