@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import canonical, neardup, splits
+from millrace.llm import canonical, mixture, neardup, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -68,6 +68,20 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(_read(spark, sf_dir, "mock_data")).groups()
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> mixture.Mixture:
+    return mixture.Mixture(_read(spark, sf_dir, "mock_data"), _read(spark, sf_dir, "mix_targets"))
+
+
+@_query
+def p5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).draws()
+
+
+@_query
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).report()
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
