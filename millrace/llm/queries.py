@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import canonical, mixture, neardup, splits
+from millrace.llm import bpe, canonical, mixture, neardup, packing, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -82,6 +82,21 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report()
 
 
+@_query
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_corpus(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(bpe.count_tokens(_read(spark, sf_dir, "documents")))
+
+
+@_query
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p7_containers(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
