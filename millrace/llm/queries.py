@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, canonical, mixture, neardup, packing, splits
+from millrace.llm import bpe, canonical, mixture, neardup, packing, sentences, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -97,6 +97,11 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p7_containers(spark, sf_dir))
 
 
+@_query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
