@@ -28,8 +28,9 @@ def canonical_text(text: Column) -> Column:
     Case folds over upper case, so letters that become two (as in German) fold alike. Null stays null; a text without
     any word or number gives the empty string.
     """
-    folded = F.lower(F.upper(text))
-    return F.translate(F.trim(F.regexp_replace(folded, NOT_CONTENT, " ")), "−", "-")
+    # lower(upper(x)) directly would be simplified to lower(x)
+    kept = F.regexp_replace(F.upper(text), NOT_CONTENT, " ")
+    return F.translate(F.lower(F.trim(kept)), "−", "-")
 
 
 def canonical_source(source: Column) -> Column:

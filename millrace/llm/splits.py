@@ -26,7 +26,7 @@ MAX_LABELS = 64
 
 def clean_id(value: Column) -> Column:
     """The id without case and outer blanks; null for null, blank and placeholder values."""
-    v = F.lower(F.upper(F.regexp_replace(value.cast("string"), r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")))
+    v = F.lower(F.regexp_replace(F.upper(value.cast("string")), r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", ""))
     known = v.rlike(r"[\p{L}\p{N}]") & ~v.isin(*PLACEHOLDERS)
     return F.when(known, v)
 
