@@ -224,7 +224,7 @@ def _ends(text: str, start: int, end: int, markers: dict[int, int]) -> int:
     wide = _SPACED.search(text, max(0, start - 12), start)
     if wide and len(word.replace(".", "")) <= 2:
         joined = "".join(wide.group(1).lower().split())
-        if joined in MAYBE:
+        if joined in MAYBE and wide.group(1).islower():  # else initials
             return after
         if joined in NEVER:
             return -1
