@@ -82,5 +82,5 @@ def instruction_quality(instruction: Column, min_length: int = 5) -> Column:
 def sanitize(text: Column, max_length: int | None = None) -> Column:
     """Dangerous patterns, NULs and control characters removed, trimmed, cut to `max_length`."""
     out = reduce(lambda t, p: F.regexp_replace(t, f"(?i){p}", ""), DANGEROUS, text)
-    out = F.trim(F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
+    out = string_op(F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), "strip")
     return F.substring(out, 1, max_length) if max_length else out

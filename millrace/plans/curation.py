@@ -189,7 +189,7 @@ for _p in X.DANGEROUS:
     _SANE = f"regexp_replace({_SANE}, {_q('(?i)' + _p)}, '', 'g')"
 
 
-@query("sanitize", f"SELECT doc_id, trim(regexp_replace({_SANE}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS clean FROM documents")
+@query("sanitize", f"SELECT doc_id, {STRIP.replace('text', 'clean')} AS clean FROM (SELECT doc_id, regexp_replace({_SANE}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS clean FROM documents)")
 def sanitize(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", X.sanitize(F.col("text")).alias("clean"))
 
