@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -10,6 +12,12 @@ from pyspark.sql import functions as F
 EPS = 1e-8
 
 
+def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """`body` of a struct of `values`, each computed once a row; inside a lambda an outer expression is computed again for each element."""
+    bound = F.array(F.struct(*[c.alias(k) for k, c in values.items()]))
+    return F.get(F.transform(bound, body), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y.cast("double"))
 
@@ -19,15 +27,15 @@ def mean(a: Column) -> Column:
 
 
 def std(a: Column, ddof: int = 0) -> Column:
-    m = mean(a)
     n = F.size(a) - ddof
-    return F.when(n > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda x, y: x + (y.cast("double") - m) * (y.cast("double") - m)) / n))
+    squares = let({"a": a, "m": mean(a)}, lambda t: F.aggregate(t["a"], F.lit(0.0), lambda x, y: x + (y.cast("double") - t["m"]) * (y.cast("double") - t["m"])))
+    return F.when(n > 0, F.sqrt(squares / n))
 
 
 def median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
+    n = F.size(a)
     lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(s, lo).cast("double") + F.get(s, hi).cast("double")) / 2)
+    return F.when(n > 0, let({"s": F.array_sort(a)}, lambda t: (F.get(t["s"], lo).cast("double") + F.get(t["s"], hi).cast("double")) / 2))
 
 
 def stats(a: Column) -> Column:
@@ -38,20 +46,16 @@ def stats(a: Column) -> Column:
 def normalize(a: Column, method: str = "zscore") -> Column:
     """zscore, minmax or l2."""
     if method == "zscore":
-        m, s = mean(a), std(a)
-        return F.transform(a, lambda x: (x - m) / (s + EPS))
+        return let({"a": a, "m": mean(a), "s": std(a)}, lambda t: F.transform(t["a"], lambda x: (x - t["m"]) / (t["s"] + EPS)))
     if method == "minmax":
-        lo, hi = F.array_min(a), F.array_max(a)
-        return F.transform(a, lambda x: (x - lo) / (hi - lo + EPS))
+        return let({"a": a, "lo": F.array_min(a), "hi": F.array_max(a)}, lambda t: F.transform(t["a"], lambda x: (x - t["lo"]) / (t["hi"] - t["lo"] + EPS)))
     if method == "l2":
-        n = norm(a)
-        return F.transform(a, lambda x: x / (n + EPS))
+        return let({"a": a, "n": norm(a)}, lambda t: F.transform(t["a"], lambda x: x / (t["n"] + EPS)))
     raise ValueError(f"unknown method {method}")
 
 
 def remove_outliers(a: Column, threshold: float = 3.0) -> Column:
-    m, s = mean(a), std(a)
-    return F.filter(a, lambda x: F.abs(x - m) / (s + EPS) < threshold)
+    return let({"a": a, "m": mean(a), "s": std(a)}, lambda t: F.filter(t["a"], lambda x: F.abs(x - t["m"]) / (t["s"] + EPS) < threshold))
 
 
 def decimate(a: Column, target_rate: int) -> Column:
