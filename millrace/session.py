@@ -47,12 +47,12 @@ def cut(df: DataFrame, name: str, partition_hint: int | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str, factor: int = 3) -> DataFrame:
-    """Hash-partition by `keys` where the input has too few splits to keep all cores busy in a heavy Python stage.
+def spread(df: DataFrame, *keys: str, factor: int = 3, least: float = 2.0) -> DataFrame:
+    """Hash-partition by `keys` where the input has fewer than `least` splits a core, too few to keep all busy in a heavy stage.
 
     A large input has many splits and is left alone, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    if df.rdd.getNumPartitions() >= least * cores:
         return df
     return df.repartition(factor * cores, *keys)

@@ -8,8 +8,11 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.sources import parsers as P
 
@@ -114,38 +117,27 @@ def decode(spark: SparkSession, paths: list[str], parser: Callable[..., P.Rows],
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if path_glob:
         files = files.option("pathGlobFilter", path_glob)
-    names = [c.split(" ")[0] for c in _split(schema)]
+    full = f"path string, {schema}, read_error string"
+    wanted = to_arrow_schema(T._parse_datatype_string(full))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for path, content in zip(files["path"], files["content"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held: list[dict] = []
                 try:
-                    for row in parser(bytes(content), path, **options):
-                        held.append({"path": path, **row, "read_error": None})
+                    for row in parser(content, path, **options):
+                        held.append({"path": path, **row})
                         if len(held) == 1000:
-                            yield pd.DataFrame(held, columns=["path", *names, "read_error"])
+                            yield pa.RecordBatch.from_pylist(held, schema=wanted)
                             held = []
                 except Exception as e:
                     if on_error == "raise":
                         raise
                     held.append({"path": path, "read_error": f"{type(e).__name__}: {e}"})
                 if held:
-                    yield pd.DataFrame(held, columns=["path", *names, "read_error"])
+                    yield pa.RecordBatch.from_pylist(held, schema=wanted)
 
-    return files.load(paths).select("path", "content").mapInPandas(run, f"path string, {schema}, read_error string")
-
-
-def _split(schema: str) -> list[str]:
-    out, depth, part = [], 0, ""
-    for ch in schema:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and not depth:
-            out.append(part.strip())
-            part = ""
-        else:
-            part += ch
-    return [*out, part.strip()]
+    return files.load(paths).select("path", "content").mapInArrow(run, full)
 
 
 def read_paths(spark: SparkSession, paths: str | list[str], format: str | None = None, skip_errors: bool = False, **options: Any) -> DataFrame:

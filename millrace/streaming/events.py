@@ -64,7 +64,7 @@ def stream_files(spark: SparkSession, path: str, schema: Any, format: str = "par
 
 
 def process_new_files(spark: SparkSession, path: str, schema: Any, transform: Any, output: str, checkpoint: str, format: str = "parquet") -> int:
-    """Transform all files that weren't processed yet and append the result; returns the number of rows read."""
+    """Transform all files that weren't processed yet and append the result; returns the number of rows that the scan gave (filters that reach it count)."""
     stream = transform(stream_files(spark, path, schema, format))
     q = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", output).trigger(availableNow=True).start()
     q.awaitTermination()
