@@ -269,13 +269,18 @@ class Frame:
     def drop_duplicates(self, subset: str | list[str] | None = None, keep: str | bool = "first", order_by: str | list[str] | None = None) -> Frame:
         """Keep the first or last row of each key in `order_by` order (any row without it), or with keep=False only keys with one row."""
         names = _names([subset]) if subset else list(self.df.columns)
-        if keep is False:
-            n = F.count("*").over(Window.partitionBy(*names))
-            return Frame(self.df.withColumn("_n", n).filter("_n = 1").drop("_n"))
-        if order_by is None:
+        if keep is not False and order_by is None:
             return Frame(self.df.dropDuplicates(names))
-        order = [F.col(c).asc_nulls_last() if keep == "first" else F.col(c).desc_nulls_first() for c in _names([order_by])]
-        return Frame(self.df.withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(*order))).filter("_n = 1").drop("_n"))
+        # aggregates with map-side combining: a key of any size costs one row a task
+        row = F.struct(*self.df.columns).alias("_row")
+        if keep is False:
+            out = self.df.groupBy(*[F.col(n).alias(f"_k{i}") for i, n in enumerate(names)]).agg(F.first(row).alias("_row"), F.count("*").alias("_n")).filter("_n = 1")
+        else:
+            # nulls count as last
+            order = F.struct(*[x for c in _names([order_by]) for x in (F.col(c).isNull(), F.col(c))])
+            pick = F.min_by if keep == "first" else F.max_by
+            out = self.df.groupBy(*[F.col(n).alias(f"_k{i}") for i, n in enumerate(names)]).agg(pick(row, order).alias("_row"))
+        return Frame(out.select("_row.*"))
 
     def dropna(self, subset: str | list[str] | None = None) -> Frame:
         """Rows without a null, NaN or blank string in `subset` (all columns; unknown names are ignored)."""

@@ -18,8 +18,34 @@ def _known(df: DataFrame, c: str) -> Column:
     return F.when(~F.isnan(x), x) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else x
 
 
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """(column, share, value): exact quantiles of all rows with linear interpolation; null where a column has no value.
+
+    Values are counted first and range-partitioned; the counts of the partitions before give each value its rank, so no task
+    and no aggregation buffer holds all values of a column.
+    """
+    from millrace.session import cut
+
+    x = [F.struct(F.lit(c).alias("column"), _known(df, c).cast("double").alias("x")) for c in columns]
+    counted = df.select(F.explode(F.array(*x)).alias("z")).select("z.*").filter("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
+    placed = cut(counted.repartitionByRange("column", "x").withColumn("_p", F.spark_partition_id()), "counted")
+    starts = placed.groupBy("column", "_p").agg(F.sum("n").alias("_n"))  # one row a column and partition
+    of = Window.partitionBy("column")
+    starts = starts.select("column", "_p", (F.sum("_n").over(of.orderBy("_p")) - F.col("_n")).alias("_before"), F.sum("_n").over(of).alias("_all"))
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy("column", "_p").orderBy("x"))
+    ranked = placed.join(starts, ["column", "_p"]).withColumn("_upto", upto)
+    asked = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
+    ranked = ranked.withColumn("share", asked).withColumn("_at", F.col("share") * (F.col("_all") - 1))
+    holds = lambda k: (F.col("_upto") > k) & (F.col("_upto") - F.col("n") <= k)
+    low, high = F.floor("_at"), F.ceil("_at")
+    ends = ranked.filter(holds(low) | holds(high)).groupBy("column", "share").agg(
+        F.max(F.when(holds(low), F.col("x"))).alias("lo"), F.max(F.when(holds(high), F.col("x"))).alias("hi"), F.first(F.col("_at") - low).alias("part")
+    )
+    return ends.select("column", "share", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
+
+
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, count, missing, distinct, mean, std, min, max, median): one row a column, in one pass.
+    """(column, count, missing, distinct, mean, std, min, max, median): one row a column.
 
     `std` is the population's; `distinct` is approximate. Columns without numbers have counts only.
     """
@@ -31,18 +57,25 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         parts = [F.count(x).alias("count"), (F.count("*") - F.count(x)).alias("missing"), F.approx_count_distinct(x).alias("distinct")]
         if c in numeric:
             d = x.cast("double")
-            parts += [F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max"), F.median(d).alias("median")]
+            parts += [F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max")]
         else:
-            parts += [F.max(F.lit(None).cast("double")).alias(k) for k in ("mean", "std", "min", "max", "median")]
+            parts += [F.max(F.lit(None).cast("double")).alias(k) for k in ("mean", "std", "min", "max")]
         aggs.append(F.struct(F.first(F.lit(c)).alias("column"), *parts).alias(f"_{len(aggs)}"))
     one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*one.columns)).alias("p")).select("p.*")
+    out = one.select(F.explode(F.array(*one.columns)).alias("p")).select("p.*")
+    numbers = [c for c in names if c in numeric]
+    if not numbers:
+        return out.withColumn("median", F.lit(None).cast("double"))
+    middle = quantiles(df, numbers, [0.5]).select("column", F.col("value").alias("median"))
+    return out.join(F.broadcast(middle), "column", "left")  # one row a column
 
 
 def iqr_outliers(df: DataFrame, columns: list[str] | None = None, factor: float = 1.5) -> DataFrame:
     """(column, q1, q3, outliers): values beyond `factor` quartile ranges; none for up to four values or no range."""
     names = columns or _numeric(df)
-    quarts = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in names], *[F.count(c).alias(f"n_{c}") for c in names])
+    found = quantiles(df, names, [0.25, 0.75])
+    value = lambda c, s: F.max(F.when((F.col("column") == c) & (F.col("share") == s), F.col("value")))
+    quarts = found.agg(*[F.array(value(c, 0.25), value(c, 0.75)).alias(f"q_{c}") for c in names]).join(F.broadcast(df.agg(*[F.count(c).alias(f"n_{c}") for c in names])), how="cross")
     joined = df.select(*names).join(F.broadcast(quarts), how="cross")  # one row
 
     def outside(c: str) -> Column:
@@ -69,9 +102,12 @@ def missing_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def with_statistics(df: DataFrame, columns: list[str], metrics: tuple[str, ...] = ("mean", "std", "min", "max", "median"), zscore: bool = True, ddof: int = 1) -> DataFrame:
     """Add <column>_<metric> of the whole table to each row, and <column>_zscore (null where the deviation is 0 or null)."""
-    fns = {"mean": F.avg, "std": F.stddev_samp if ddof else F.stddev_pop, "min": F.min, "max": F.max, "median": F.median}
+    fns = {"mean": F.avg, "std": F.stddev_samp if ddof else F.stddev_pop, "min": F.min, "max": F.max}
     need = dict.fromkeys([*metrics, *(("mean", "std") if zscore else ())])
-    one = df.agg(*[fns[m](c).alias(f"{c}_{m}") for c in columns for m in need])
+    one = df.agg(*[fns[m](c).alias(f"{c}_{m}") for c in columns for m in need if m != "median"])
+    if "median" in need:
+        found = quantiles(df, columns, [0.5])
+        one = one.join(F.broadcast(found.agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"{c}_median") for c in columns])), how="cross")
     out = df.join(F.broadcast(one), how="cross")  # one row
     if zscore:
         out = out.withColumns({f"{c}_zscore": F.when(F.col(f"{c}_std") > 0, (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std")) for c in columns})

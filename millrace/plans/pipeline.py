@@ -24,8 +24,8 @@ from millrace.sources.writers import write, write_output
 
 COMPUTE_MODES = ("auto", "cpu", "gpu")
 SOURCE_TYPES: dict[str, Callable[..., DataFrame]] = {
-    "path": lambda s, path, **o: load(s, path, **o), "groot": read_trajectories, "trajectories": read_trajectories,
-    "isaac_lab": lambda s, path, robot_type="humanoid", **o: read_simulation(s, path, robot_type), "omniverse": lambda s, path, **o: read_rendered(s, path), "cosmos": lambda s, path, **o: read_generated_videos(s, path),
+    "path": lambda s, path, **o: load(s, path, **o), "trajectories": read_trajectories,
+    "simulation": lambda s, path, robot_type="humanoid", **o: read_simulation(s, path, robot_type), "rendered": lambda s, path, **o: read_rendered(s, path), "generated_videos": lambda s, path, **o: read_generated_videos(s, path),
 }
 
 
@@ -118,7 +118,7 @@ class Pipeline:
         self.sources.append(_source(made))
         return self
 
-    add_simulation_data = add_synthetic_data = add_omniverse_data = add_synthetic_generator = add_source
+    add_simulation_data = add_synthetic_data = add_rendered_data = add_synthetic_generator = add_source
 
     def get_stage_names(self) -> list[str]:
         return [s.name for s in self.stages]
@@ -296,14 +296,14 @@ class PipelineBuilder:
         self.sources.append({"frame": path} if isinstance(path, (Frame, DataFrame)) else {"type": source_type if source_type in SOURCE_TYPES else "path", "path": path, **options})
         return self
 
-    def isaac(self, path: str, robot_type: str = "humanoid", **_: Any) -> PipelineBuilder:
-        return self.source("isaac_lab", path, robot_type=robot_type)
+    def simulation(self, path: str, robot_type: str = "humanoid", **_: Any) -> PipelineBuilder:
+        return self.source("simulation", path, robot_type=robot_type)
 
-    def omniverse(self, path: str, **_: Any) -> PipelineBuilder:
-        return self.source("omniverse", path)
+    def rendered(self, path: str, **_: Any) -> PipelineBuilder:
+        return self.source("rendered", path)
 
-    def cosmos(self, path: str, **_: Any) -> PipelineBuilder:
-        return self.source("cosmos", path)
+    def generated_videos(self, path: str, **_: Any) -> PipelineBuilder:
+        return self.source("generated_videos", path)
 
     def stage(self, stage: Any, name: str | None = None) -> PipelineBuilder:
         self.stages.append(as_stage(stage, name or getattr(stage, "task_name", None)))
