@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.skew import CHUNK, salted_join
-from millrace.session import cut
+from millrace.session import cut, spread
 
 #: All that is not part of a word or number: anything but letters, digits and marks, save a point between two digits and
 #: a minus sign directly before a digit and not after a letter, digit or underscore.
@@ -89,7 +89,7 @@ def parse_records(lines: DataFrame, id_col: str = "line_id", line: str = "line")
 
 def record_keys(records: DataFrame) -> DataFrame:
     """(id, k1, k2, check): 128-bit key and a further 64 bits of the canonical form of each (id, text, source) that has a word."""
-    canon = composed(records.select("id", "text", "source"), "text", "source").select(
+    canon = composed(spread(records.select("id", "text", "source"), "id", least=1.0), "text", "source").select(
         "id", canonical_text(F.col("text")).alias("t"), canonical_source(F.col("source")).alias("s")
     )
     return canon.filter("t != '' and id is not null").select(

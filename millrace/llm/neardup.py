@@ -256,7 +256,8 @@ def _verify(n: int, threshold: float):
 
 def text_members(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """(id, norm, n1, n2, c1, c2): normalised text, its 128-bit hash and that of the canonical form, of each text that has a word."""
-    both = composed(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("raw"), F.col(text).alias("nfc")), "nfc")
+    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("raw")), "id", least=1.0)
+    both = composed(rows.withColumn("nfc", F.col("raw")), "nfc")
     c = canonical_text(F.col("nfc"))
     out = both.select("id", normalised(F.col("raw")).alias("norm"), c.alias("c")).filter("id is not null and c != '' and norm != ''").dropDuplicates(["id"])
     return out.select("id", "norm", *[F.xxhash64(*([F.lit("second")] * k), x).alias(f"{p}{k + 1}") for p, x in (("n", "norm"), ("c", "c")) for k in (0, 1)])
