@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, canonical, mixture, neardup, packing, sentences, splits
+from millrace.llm import bpe, canonical, mixture, neardup, oracles, packing, sentences, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 
 
 def _query(f: Query) -> Query:
@@ -102,24 +101,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(_read(spark, sf_dir, "documents"))
 
 
-def _clean(key: str) -> str:
-    listed = ", ".join(f"'{p}'" for p in splits.PLACEHOLDERS)
-    one = lambda c: f"CASE WHEN regexp_matches({c}, '[\\p{{L}}\\p{{N}}]') AND lower(trim({c})) NOT IN ({listed}) THEN lower(trim({c})) END"
-    return f"coalesce({one(key)}, {one('groot_metadata.' + key)})"
-
-
-_SQL["p3_found"] = (
-    "WITH RECURSIVE e AS (SELECT row_id, k || ':' || v AS ent FROM ("
-    + " UNION ALL ".join(f"SELECT row_id, '{k}' AS k, {_clean(k)} AS v FROM test_groot" for k in splits.KEYS)
-    + """) WHERE v IS NOT NULL), s AS (SELECT row_id AS a, min(row_id) OVER (PARTITION BY ent) AS b FROM e), l AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
-    reach AS (SELECT DISTINCT row_id AS id, row_id AS r FROM test_groot UNION SELECT reach.id, l.b FROM reach JOIN l ON reach.r = l.a)
-    SELECT min(r) AS first_id, id AS row_id FROM reach GROUP BY id HAVING min(r) < id"""
-)
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(oracles.SQL)
