@@ -28,6 +28,8 @@ def bipartite_components(links: DataFrame, record: str = "rec", entity: str = "e
     edges = cut(_linking(base), "edges")
     start = edges
     maps: list[DataFrame] = []
+    if edges.isEmpty():
+        return edges.select(F.col("rec").alias(record), F.col("rec").alias("first"))
     for k in range(MAX_ROUNDS):
         by_entity = edges.groupBy("ent").agg(F.min(ranked).alias("m"), F.count("*").alias("n"))
         low = by_entity.select("ent", "m")

@@ -20,19 +20,72 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "row") -> Dat
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
-def asof_join(left: DataFrame, right: DataFrame, time: str, by: list[str], values: list[str], right_time: str | None = None, tolerance: Column | None = None) -> DataFrame:
+def running(df: DataFrame, by: list[str], order_by: list[str], columns: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Running values per key for keys of any size: name -> (kind, column).
+
+    Kinds: row_number; sum; last_known, the last value that isn't null up to the row; lag, the value of the row before.
+    Rows are range-partitioned by key and order, so a hot key is spread over many tasks. Each task works on its stretch;
+    what a stretch hands on to the next one of its key is a summary of one row. Equals the window function of that name; ties are in no fixed order.
+    """
+    kinds = {k for k, _ in columns.values()}
+    if not kinds <= {"row_number", "sum", "last_known", "lag"}:
+        raise ValueError(f"unknown kinds {kinds}")
+    placed = cut(df.repartitionByRange(*by, *order_by).withColumn("_p", F.spark_partition_id()), "stretches")
+    w = Window.partitionBy("_p", *by).orderBy(*order_by)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    local: dict[str, Column] = {"_first": F.row_number().over(w) == 1}
+    ends, carried, final = [], [], {}
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    at = F.struct(*order_by)
+    for i, (name, (kind, c)) in enumerate(columns.items()):
+        own, carry = F.col(f"_own{i}"), F.col(f"_carry{i}")
+        if kind == "row_number":
+            local[f"_own{i}"] = F.row_number().over(w)
+            ends.append(F.count("*").alias(f"_end{i}"))
+        elif kind == "sum":
+            local[f"_own{i}"] = F.sum(c).over(upto)
+            ends.append(F.sum(c).alias(f"_end{i}"))
+        elif kind == "last_known":
+            local[f"_own{i}"] = F.last(c, ignorenulls=True).over(upto)
+            ends.append(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_end{i}"))
+        else:
+            local[f"_own{i}"] = F.lag(c).over(w)
+            ends.append(F.max_by(F.struct(F.col(c).alias("v")), at).alias(f"_end{i}"))
+        end = F.col(f"_end{i}")
+        carried.append((F.sum(end) if kind in ("row_number", "sum") else F.last(end, ignorenulls=True)).over(before).alias(f"_carry{i}"))
+        if kind == "row_number":
+            final[name] = own + F.coalesce(carry, F.lit(0))
+        elif kind == "sum":
+            final[name] = F.coalesce(own + carry, own, carry)
+        elif kind == "last_known":
+            final[name] = F.coalesce(own, carry)
+        else:
+            final[name] = F.when(F.col("_first"), carry["v"]).otherwise(own)
+    keys = {k: F.col(k).alias(f"_k{i}") for i, k in enumerate(by)}
+    summary = placed.groupBy("_p", *by).agg(*ends).select(F.col("_p").alias("_q"), *keys.values(), *carried)
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return placed.withColumns(local).join(summary, same).select(*df.columns, *[c.alias(k) for k, c in final.items()])
+
+
+def asof_join(left: DataFrame, right: DataFrame, time: str, by: list[str], values: list[str], right_time: str | None = None, tolerance: Column | None = None, split_hot: bool = False) -> DataFrame:
     """For each left row the values of the last right row of the same `by` at or before its time; null if there is none.
 
     One shuffle: both sides are put in one timeline and the last known values are carried forward. At equal times the
-    right row counts as before; among right rows of one time the one with the greatest values counts.
+    right row counts as before; among right rows of one time the one with the greatest values counts. With `split_hot` keys
+    that hold a large part of the rows are spread over tasks.
     """
     rt = right_time or time
     l = left.withColumns({"_side": F.lit(1), "_t": F.col(time), "_left": F.struct(*left.columns), "_v": F.lit(None)})
     pick = F.struct(F.col(rt).alias("_rt"), *values)
     r = right.select(*by, F.lit(0).alias("_side"), F.col(rt).alias("_t"), pick.alias("_v"))
     both = l.select(*by, "_side", "_t", "_left").unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
+    if split_hot:
+        out = running(both, by, ["_t", "_side", "_v"], {"_last": ("last_known", "_v")}).filter("_side = 1")
+    else:
+        w = Window.partitionBy(*by).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+        out = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
     known = F.col("_last")
     if tolerance is not None:
         known = F.when(F.col("_t") - F.col("_last._rt") <= tolerance, known)

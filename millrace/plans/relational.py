@@ -369,3 +369,27 @@ def nearest_sync(s: SparkSession, d: str) -> DataFrame:
 def feature_lookup(s: SparkSession, d: str) -> DataFrame:
     features = frame(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal")
     return frame(s, d, "orders").join(features, on="o_custkey", how="left").select("o_orderkey", "c_mktsegment", "c_acctbal").df
+
+
+# --- running values without a task per key ---
+
+
+@query("fillna_ffill_whole_table", f"SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM ({_GAPS})")
+def fillna_ffill_whole_table(s: SparkSession, d: str) -> DataFrame:
+    return _gaps(s, d).fill_direction("ffill", ["ts", "event_id"], "v", split_hot=True).select("event_id", "v").df
+
+
+@query("running_hot_keys", """SELECT event_id, row_number() OVER w AS n, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS total, lag(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
+def running_hot_keys(s: SparkSession, d: str) -> DataFrame:
+    from millrace.operators.order import running
+
+    out = running(read(s, d, "events"), ["event_type"], ["ts", "event_id"], {"n": ("row_number", None), "total": ("sum", "value"), "before": ("lag", "value")})
+    return out.select("event_id", "n", F.round("total", 4).alias("total"), "before")
+
+
+@query("asof_join_hot_keys", """SELECT a.event_id, b.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'error') a
+    ASOF LEFT JOIN (SELECT ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1) b ON a.ts >= b.ts""")
+def asof_hot(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events")
+    clicks = e.filter("event_type = 'click'").select("ts", F.col("value").alias("last_value"))
+    return asof_join(e.filter("event_type = 'error'").select("event_id", "ts"), clicks, "ts", [], ["last_value"], split_hot=True).select("event_id", "last_value")

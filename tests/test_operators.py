@@ -13,7 +13,7 @@ from millrace.operators import stages as S
 from millrace.operators import training as T
 from millrace.operators import validation as V
 from millrace.operators.components import bipartite_components
-from millrace.operators.order import asof_join, range_join, with_row_index
+from millrace.operators.order import asof_join, range_join, running, with_row_index
 from millrace.operators.skew import heavy_keys, salted_join
 from millrace.operators.statistics import ks, profile, psi
 
@@ -105,6 +105,21 @@ def test_order(spark):
     assert sorted((r.p, r.rid) for r in range_join(points, ranges, "p", "lo", "hi", 3.0).collect()) == [(0.0, 1), (2.2, 1), (2.2, 2), (29.0, 2)]
 
 
+def test_running_equals_windows(spark):
+    from pyspark.sql import Window
+
+    spread = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 7).cast("string"))
+    df = spark.range(3000).select(spread.alias("k"), (F.col("id") * 7919 % 3001).alias("o"), F.when(F.col("id") % 5 != 0, F.col("id")).alias("v")).repartition(6)
+    w = Window.partitionBy("k").orderBy("o")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("k", "o", "v", F.row_number().over(w).cast("long").alias("n"), F.sum("v").over(upto).alias("s"), F.last("v", True).over(upto).alias("l"), F.lag("v").over(w).alias("g"))
+    got = running(df, ["k"], ["o"], {"n": ("row_number", None), "s": ("sum", "v"), "l": ("last_known", "v"), "g": ("lag", "v")})
+    assert got.select(F.col("n").cast("long"), *"k o v s l g".split()).exceptAll(want.select("n", *"k o v s l g".split())).count() == 0 and got.count() == 3000
+    left, right = df.filter("o % 2 = 0").select("k", "o", F.col("o").alias("id")), df.filter("o % 2 = 1").select("k", "o", "v")
+    a, b = (asof_join(left, right, "o", ["k"], ["v"], split_hot=s) for s in (True, False))
+    assert a.exceptAll(b).count() == 0 and a.count() == left.count()
+
+
 def test_validators(spark):
     df = spark.createDataFrame([("text", "hello", "text"), ("text", None, "text"), ("video", "x", None)], "data_type string, text string, format string")
     rows = V.completeness(df).collect()
