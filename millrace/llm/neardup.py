@@ -87,20 +87,25 @@ def _frequencies(units: DataFrame, bits: int, n: int) -> np.ndarray:
     return out
 
 
-_POSTING = "gram bigint, ci int, cj int, side tinyint, pos int, size int, uid bigint, sketch binary"
-_POSTING_ARROW = pa.schema(
-    [("gram", pa.int64()), ("ci", pa.int32()), ("cj", pa.int32()), ("side", pa.int8()), ("pos", pa.int32()), ("size", pa.int32()), ("uid", pa.int64()), ("sketch", pa.binary())]
-)
+def _block_of(gram: np.ndarray, ci: np.ndarray, cj: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of a branch of the tree: all sets below one gram and cell pair meet there."""
+    h = gram.view(np.uint64) ^ (ci.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (cj.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return ((h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
 
 
-def _postings(table, bits: int, n: int, threshold: float, cell: int):
-    """Hang each set under the grams of its prefix. A gram that may be hot is split into pairs of cells of bounded size."""
+def _postings(table, bits: int, n: int, threshold: float, cell: int, blocks: int):
+    """Hang each set under the grams of its prefix; give (block, packed postings), a row for each block of a batch.
+
+    A gram that may be hot is split into pairs of cells of bounded size. Inside a packed row each set is there once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = table.value
         mask = np.uint64((1 << bits) - 1)
         for b in batches:
-            cols: list[list] = [[] for _ in _POSTING_ARROW]
+            posts: list[tuple] = []
+            sets: list[tuple] = []
             made = 0
             for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = gram_hashes(text, n)
@@ -109,7 +114,6 @@ def _postings(table, bits: int, n: int, threshold: float, cell: int):
                 f = freq[(h & mask).astype(np.int64)]
                 prefix = len(h) - math.ceil(threshold * len(h) - _EPS) + 1
                 order = np.lexsort((h, f))[:prefix]
-                sketch = parity_sketch(h, sketch_words(len(h))).tobytes()
                 grams, cells = h[order].view(np.int64), -(-f[order] // cell)
                 pos = np.arange(prefix, dtype=np.int32)
                 zero = np.zeros(prefix, np.int32)
@@ -124,31 +128,63 @@ def _postings(table, bits: int, n: int, threshold: float, cell: int):
                         other = np.arange(k, dtype=np.int32)
                         parts.append((np.full(k, grams[i]), np.minimum(other, own).astype(np.int32), np.maximum(other, own).astype(np.int32), (other < own).astype(np.int8), np.full(k, pos[i], np.int32)))
                     grams, ci, cj, side, pos = (np.concatenate(x) for x in zip(*parts))
-                m = len(grams)
-                for c, v in zip(cols, (grams, ci, cj, side, pos, np.full(m, len(h), np.int32), np.full(m, uid, np.int64), [sketch] * m)):
-                    c.append(v)
-                made += m
-                if made >= 50_000:
-                    yield _batch(cols)
-                    cols, made = [[] for _ in _POSTING_ARROW], 0
+                posts.append((grams, ci, cj, side, pos, np.full(len(grams), len(sets), np.int32)))
+                sets.append((uid, len(h), parity_sketch(h, sketch_words(len(h)))))
+                made += len(grams)
+                if made >= 300_000:
+                    yield from _packed(posts, sets, blocks)
+                    posts, sets, made = [], [], 0
             if made:
-                yield _batch(cols)
+                yield from _packed(posts, sets, blocks)
 
     return run
 
 
-def _batch(cols: list[list]) -> pa.RecordBatch:
-    arrays = [pa.array(np.concatenate(c), f.type) for c, f in zip(cols[:-1], _POSTING_ARROW)]
-    arrays.append(pa.array([s for part in cols[-1] for s in part], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, schema=_POSTING_ARROW)
+_COLUMNS = (np.int64, np.int32, np.int32, np.int8, np.int32, np.int32)  # gram, cells, side, position, set
+
+
+def _packed(posts: list[tuple], sets: list[tuple], blocks: int) -> Iterator[pa.RecordBatch]:
+    columns = [np.concatenate(c) for c in zip(*posts)]
+    block = _block_of(columns[0], columns[1], columns[2], blocks)
+    order = np.argsort(block, kind="stable")
+    columns, block = [c[order] for c in columns], block[order]
+    edges = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+    uid, size = np.array([x[0] for x in sets], np.int64), np.array([x[1] for x in sets], np.int32)
+    names, payloads = [], []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        part = [c[lo:hi] for c in columns]
+        own, part[5] = np.unique(part[5], return_inverse=True)
+        words = np.concatenate([sets[i][2] for i in own])
+        head = np.array([hi - lo, len(own), len(words)], np.int64)
+        arrays = [*(c.astype(t) for c, t in zip(part, _COLUMNS)), uid[own], size[own], words]
+        names.append(int(block[lo])), payloads.append(head.tobytes() + b"".join(x.tobytes() for x in arrays))
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(payloads, pa.binary())], names=["block", "payload"])
+
+
+def _unpacked(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of the postings, then uid, size and sketch words of the sets they name."""
+    columns: list[list[np.ndarray]] = [[] for _ in _COLUMNS]
+    uids, sizes, words, before = [], [], [], 0
+    for data in payloads:
+        posts, sets, n_words = np.frombuffer(data, np.int64, 3)
+        at = 24
+        for k, (kind, count) in enumerate([*((t, posts) for t in _COLUMNS), (np.int64, sets), (np.int32, sets), (np.uint64, n_words)]):
+            x = np.frombuffer(data, kind, count, at)
+            at += x.nbytes
+            if k < len(_COLUMNS):
+                columns[k].append(x + before if k == 5 else x)
+            else:
+                (uids, sizes, words)[k - len(_COLUMNS)].append(x)
+        before += int(sets)
+    return [np.concatenate(c) for c in columns], *(np.concatenate(x) for x in (uids, sizes, words))
 
 
 class _Sketches:
     """Sketches by width, each set also folded to half its width."""
 
-    def __init__(self, column: pa.Array, sizes: np.ndarray):
-        self.width = np.array([sketch_words(int(s)) for s in np.unique(sizes)])[np.unique(sizes, return_inverse=True)[1]]
-        data = np.frombuffer(column.buffers()[2], np.uint64, count=int(self.width.sum()), offset=column.buffers()[1] and int(np.frombuffer(column.buffers()[1], np.int32, count=column.offset + 1)[column.offset]))
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+        known, which = np.unique(sizes, return_inverse=True)
+        self.width = np.array([sketch_words(int(s)) for s in known])[which]
         start = np.cumsum(self.width) - self.width
         self.row = np.zeros(len(sizes), np.int64)
         self.folded_row = np.zeros(len(sizes), np.int64)
@@ -192,12 +228,11 @@ def _walk(threshold: float, walk: int):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        table = pa.Table.from_batches(got).combine_chunks()
-        gram, ci, cj, side, pos, size, uid = (table[c].to_numpy() for c in ("gram", "ci", "cj", "side", "pos", "size", "uid"))
-        order = np.lexsort((size, cj, ci, gram))
-        sketch = table["sketch"].combine_chunks() if table["sketch"].num_chunks != 1 else table["sketch"].chunk(0)
-        sketches = _Sketches(sketch, size)
-        gram, ci, cj, side, pos, size, uid = (x[order] for x in (gram, ci, cj, side, pos, size, uid))
+        (gram, ci, cj, side, pos, member), uid, sizes, words = _unpacked([p for b in got for p in b.column(1).to_pylist()])
+        sketches = _Sketches(words, sizes)
+        order = np.lexsort((sizes[member], cj, ci, gram))
+        gram, ci, cj, side, pos, member = (x[order] for x in (gram, ci, cj, side, pos, member))
+        size = sizes[member]
         new = np.r_[True, (gram[1:] != gram[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])]
         branch = np.cumsum(new) - 1
         span = int(size.max()) + 1
@@ -220,8 +255,8 @@ def _walk(threshold: float, walk: int):
                 # what can still overlap from the shared gram on; in a cell pair only sets of different cells, else copies of work
                 fit = (pos[a] <= size[a] - least) & (pos[b] <= size[b] - least) & ((ci[a] == cj[a]) | (side[a] != side[b]))
                 a, b, budget = a[fit], b[fit], (both - 2 * least)[fit]
-                alive = sketches.walk(order[a], order[b], budget)
-                u, v = uid[a[alive]], uid[b[alive]]
+                alive = sketches.walk(member[a], member[b], budget)
+                u, v = uid[member[a[alive]]], uid[member[b[alive]]]
                 found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
             lo = hi
         if found:
@@ -269,8 +304,8 @@ def similar_units(units: DataFrame, n: int = GRAM, threshold: float = THRESHOLD,
     freq = _frequencies(units, table_bits, n)
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(freq.sum() * (1 - threshold) / BLOCK_POSTINGS) + 1)
     table = spark.sparkContext.broadcast(freq)
-    postings = units.select("uid", "norm").mapInArrow(_postings(table, table_bits, n, threshold, cell), _POSTING)
-    pairs = postings.repartition(blocks, "gram", "ci", "cj").mapInArrow(_walk(threshold, WALK), "ua bigint, ub bigint")
+    postings = units.select("uid", "norm").mapInArrow(_postings(table, table_bits, n, threshold, cell, blocks), "block bigint, payload binary")
+    pairs = postings.repartition(blocks, "block").mapInArrow(_walk(threshold, WALK), "ua bigint, ub bigint")
     pairs = cut(pairs.distinct(), "pairs")
     text = lambda u, t: units.select(F.col("uid").alias(u), F.col("norm").alias(t))
     full = pairs.join(text("ub", "tb"), "ub").join(text("ua", "ta"), "ua").select("ua", "ub", "ta", "tb")
