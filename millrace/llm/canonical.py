@@ -17,8 +17,9 @@ from millrace.session import cut, spread
 #: a minus sign directly before a digit and not after a letter, digit or underscore.
 _WORD = r"\p{L}\p{N}\p{M}"
 NOT_CONTENT = (
-    rf"(?:[^{_WORD}.\-−]|(?<!\p{{Nd}})\.|\.(?!\p{{Nd}})"
-    rf"|(?<=[{_WORD}_])[\-−]|[\-−](?!\p{{Nd}}))+"
+    # each branch tests the character itself first, so most characters cost no look-around
+    rf"(?:[^{_WORD}.\-−]|\.(?:(?<!\p{{Nd}}\.)|(?!\p{{Nd}}))"
+    rf"|[\-−](?:(?<=[{_WORD}_][\-−])|(?!\p{{Nd}})))+"
 )
 
 
