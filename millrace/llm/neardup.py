@@ -305,7 +305,7 @@ def similar_units(units: DataFrame, n: int = GRAM, threshold: float = THRESHOLD,
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(freq.sum() * (1 - threshold) / BLOCK_POSTINGS) + 1)
     table = spark.sparkContext.broadcast(freq)
     postings = units.select("uid", "norm").mapInArrow(_postings(table, table_bits, n, threshold, cell, blocks), "block bigint, payload binary")
-    pairs = postings.repartition(blocks, "block").mapInArrow(_walk(threshold, WALK), "ua bigint, ub bigint")
+    pairs = postings.repartitionById(blocks, F.col("block").cast("int")).mapInArrow(_walk(threshold, WALK), "ua bigint, ub bigint")
     pairs = cut(pairs.distinct(), "pairs")
     text = lambda u, t: units.select(F.col("uid").alias(u), F.col("norm").alias(t))
     full = pairs.join(text("ub", "tb"), "ub").join(text("ua", "ta"), "ua").select("ua", "ub", "ta", "tb")
