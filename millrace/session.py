@@ -41,7 +41,7 @@ def cut(df: DataFrame, name: str, partition_hint: int | None = None) -> DataFram
 
     Cuts the lineage so that nothing above is computed twice; the table outlives any lost executor.
     """
-    path = f"{shared_dir(df.sparkSession)}/millrace/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(df.sparkSession)}/millrace/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     out = df.coalesce(partition_hint) if partition_hint else df
     out.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
