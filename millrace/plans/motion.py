@@ -10,6 +10,7 @@ from millrace.operators import dedup as D
 from millrace.operators import episodes as E
 from millrace.operators import training as T
 from millrace.plans.catalog import query, read
+from millrace.session import cut
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -216,10 +217,14 @@ def dedup_semantic_kmeans(s: SparkSession, d: str) -> DataFrame:
 
 @query("dedup_both")
 def dedup_both(s: SparkSession, d: str) -> DataFrame:
+    """A row for each document: the text step, then the vector step on what that keeps (null columns for the rest); `keep` needs both."""
     docs = read(s, d, "documents")
-    kept = D.dedup_texts(docs, "doc_id").filter("keep").select(F.col("id").alias("doc_id"))
-    vectors = read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return D.dedup_embeddings(kept.join(vectors, "doc_id"), "doc_id", "embedding", 0.35, cluster="label")
+    step = lambda df, name: df.select("id", *[F.col(c).alias(f"{name}_{c}") for c in ("keep", "class_id", "n_links")])
+    texts = cut(step(D.dedup_texts(docs, "doc_id"), "text"), "texts")
+    vectors = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    kept = texts.filter("text_keep").select("id").join(vectors, "id", "left")
+    out = texts.join(step(D.dedup_embeddings(kept, "id", "embedding", 0.35, cluster="label"), "vector"), "id", "left")
+    return out.withColumn("keep", F.col("text_keep") & F.col("vector_keep"))
 
 
 @query("dedup_sequence", "SELECT id, id = min(id) OVER (PARTITION BY j) AS keep FROM (SELECT row_id AS id, sensor_data.joint_positions::VARCHAR AS j FROM test_groot)")
