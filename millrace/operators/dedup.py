@@ -1,7 +1,8 @@
 """Deduplication of texts, embeddings and sequences, and vector search.
 
-Exact copies are merged first. Candidates share a bucket (a band of MinHash values, or a cluster); the pairs of a bucket are
-compared inside tasks, in cells of bounded size, and only similar ones come out.
+Exact copies are merged first. Candidates share a bucket (a band of MinHash values, or a given cluster); the pairs of a bucket are
+compared inside tasks, in cells of bounded size, and only similar ones come out. Without given clusters, embeddings are compared
+across all cells that can hold a similar pair.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from millrace.session import cut
 MODES = ("any_earlier", "greedy", "components")
 HASHES, BANDS, GRAM = 100, 20, 5
 CELL = 2_000
+LEAST = 50
 _PRIME = np.uint64((1 << 31) - 1)
 
 
@@ -72,6 +74,11 @@ def pairs_in_buckets(members: DataFrame, keys: list[str], id_col: str, vector: s
     own = F.pmod(F.xxhash64(F.lit("cell"), id_col), "_k").cast("int")
     rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     rows = rows.select(*keys, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") <= F.col("_other")).alias("_low"), F.col(id_col).alias("id"), F.col(vector).alias("vector"))
+    return rows.groupBy(*keys, "_i", "_j").applyInArrow(_compare(score, least), "a bigint, b bigint, score double").dropDuplicates(["a", "b"])
+
+
+def _compare(score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float) -> Callable[[pa.Table], pa.Table]:
+    """All pairs of the blocks _i and _j (or inside one) with a score of at least `least`."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group["id"].to_numpy()
@@ -90,7 +97,7 @@ def pairs_in_buckets(members: DataFrame, keys: list[str], id_col: str, vector: s
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return pa.table({"a": cat(out_a, np.int64).astype(np.int64), "b": cat(out_b, np.int64).astype(np.int64), "score": cat(out_s, float).astype(float)})
 
-    return rows.groupBy(*keys, "_i", "_j").applyInArrow(run, "a bigint, b bigint, score double").dropDuplicates(["a", "b"])
+    return run
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -193,23 +200,61 @@ def kmeans_clusters(df: DataFrame, id_col: str, vector: str, k: int = 1000, seed
 
     vectors = df.select(F.col(id_col), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
     n = df.count()
-    if not n:
+    if min(k, n) < 2:
         return df.select(id_col, F.lit(0).alias("cluster"))
     fit = vectors if n <= sample else vectors.orderBy(F.xxhash64(F.lit(seed), id_col)).limit(sample)
     model = KMeans(k=min(k, n, sample), seed=seed, maxIter=iterations, featuresCol="features", predictionCol="cluster").fit(fit)
     return model.transform(vectors).select(id_col, "cluster")
 
 
+def cosine_pairs(members: DataFrame, id_col: str, vector: str, least: float, cell: int = CELL) -> DataFrame:
+    """(a, b, score), a < b: all pairs with a cosine of at least `least`, inside a cluster or across; each once.
+
+    Clusters of more than `cell` rows are cut into blocks. Two blocks are compared unless the angle between their centres less
+    both radii is beyond that of `least`, which by the triangle inequality leaves no such pair. Where nothing can be ruled
+    out a row is sent to each block, so clusters shouldn't be much smaller than a cell.
+    """
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / cell).alias("_k"))
+    own = F.pmod(F.xxhash64(F.lit("cell"), id_col), "_k")
+    rows = cut(members.join(F.broadcast(sizes), "cluster").select((F.col("cluster").cast("long") * (1 << 32) + own).alias("block"), F.col(id_col).alias("id"), F.col(vector).alias("vector")), "blocks")  # sizes: a row a cluster
+
+    def bound(group: pa.Table) -> pa.Table:
+        x = np.stack(group["vector"].to_numpy(zero_copy_only=False)).astype(float)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        centre = x.mean(axis=0)
+        centre = centre / np.maximum(np.linalg.norm(centre), 1e-12)
+        radius = np.arccos(np.clip(x @ centre, -1, 1)).max()
+        return pa.table({"block": group["block"][:1], "centre": pa.array([centre], pa.list_(pa.float64())), "radius": [float(radius)]})
+
+    bounds = cut(rows.groupBy("block").applyInArrow(bound, "block bigint, centre array<double>, radius double"), "bounds")
+    left, right = (bounds.select(*[F.col(c).alias(f"{c}{side}") for c in bounds.columns]) for side in ("_i", "_j"))
+    cosine = F.aggregate(F.zip_with("centre_i", "centre_j", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) - F.col("radius_i") - F.col("radius_j")
+    near = F.lit(True) if least <= 0 else F.isnan(gap) | (gap <= float(np.arccos(min(least, 1.0))) + 1e-6)
+    met = left.crossJoin(right).filter(F.col("block_i") <= F.col("block_j")).filter((F.col("block_i") == F.col("block_j")) | near)
+    met = cut(met.select(F.col("block_i").alias("_i"), F.col("block_j").alias("_j")), "met")
+    low = met.select(F.col("_i").alias("block"), "_i", "_j", F.lit(True).alias("_low"))
+    high = met.filter("_i < _j").select(F.col("_j").alias("block"), "_i", "_j", F.lit(False).alias("_low"))
+    sent = rows.join(low.unionByName(high), "block").select("_i", "_j", "_low", "id", "vector")
+    return sent.groupBy("_i", "_j").applyInArrow(_compare(cosines, least), "a bigint, b bigint, score double")
+
+
 def dedup_embeddings(df: DataFrame, id_col: str, vector: str, threshold: float = 0.95, mode: str = "any_earlier", cluster: str | None = None, k: int = 1000, cell: int = CELL) -> DataFrame:
-    """(id, class_id, n_links, keep): rows whose embeddings have a cosine of at least `threshold` inside a cluster.
+    """(id, class_id, n_links, keep): rows whose embeddings have a cosine of at least `threshold`.
 
-    Clusters come from the column `cluster` or from k-means. Rows with a null or empty embedding pass through.
+    With the column `cluster`, inside its values only. Else among all rows: k-means (at most `k` clusters, of LEAST rows on
+    average) only tells which rows needn't be compared. Rows with a null or empty embedding pass through.
     """
     rows = df.filter(F.size(vector) > 0)
     members, sizes = copies(rows.withColumn("_json", F.to_json(F.struct(vector, *([cluster] if cluster else [])))), id_col, "_json")
     reps = rows.withColumn("rep", F.col(id_col).cast("long")).join(sizes.select("rep"), "rep").dropDuplicates(["rep"])
-    clustered = reps.select("rep", F.col(vector).alias("vector"), F.col(cluster).alias("cluster")) if cluster else reps.select("rep", F.col(vector).alias("vector")).join(kmeans_clusters(reps, "rep", vector, k), "rep")
-    pairs = pairs_in_buckets(cut(clustered, "clusters"), ["cluster"], "rep", "vector", cosines, threshold, cell)
+    slim = reps.select("rep", F.col(vector).alias("vector"), *([F.col(cluster).alias("cluster")] if cluster else []))
+    if cluster:
+        pairs = pairs_in_buckets(cut(slim, "clusters"), ["cluster"], "rep", "vector", cosines, threshold, cell)
+    else:
+        slim = cut(slim, "vectors")
+        clustered = slim.join(kmeans_clusters(slim, "rep", "vector", min(k, max(1, slim.count() // LEAST))), "rep")
+        pairs = cosine_pairs(clustered, "rep", "vector", threshold, cell)
     out = _expand(members, drop_similar(sizes.select(F.col("rep").alias("id")), pairs, mode), sizes)
     i = F.col(id_col).cast("long")
     none = df.filter(F.coalesce(F.size(vector) <= 0, F.lit(True)))

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from millrace.operators import dedup as D
 from millrace.plans import catalog
 
 DATA = "/root/testdata/sf0.01"
@@ -38,3 +39,28 @@ def test_both_steps_give_every_document(spark):
             assert r.vector_n_links == links.get(i, 0) and r.vector_keep == (not earlier.get(i, False)) and r.keep == r.vector_keep
         else:
             assert (r.keep, r.vector_keep, r.vector_class_id, r.vector_n_links) == (False, None, None, None)
+
+
+def test_kmeans_loses_no_link(spark):
+    got = {r.id: r for r in catalog.queries()["dedup_semantic_kmeans"](spark, DATA).collect()}
+    rows = sorted(pq.read_table(f"{DATA}/embeddings.parquet").to_pylist(), key=lambda r: r["vec_id"])
+    x = unit(rows)
+    near = x @ x.T >= 0.35
+    np.fill_diagonal(near, False)
+    assert len(got) == len(rows) and near.any()
+    for i, r in enumerate(rows):
+        g = got[r["vec_id"]]
+        assert (g.n_links, g.keep) == (near[i].sum(), not near[i, :i].any())
+
+
+@pytest.mark.parametrize("least", [-0.5, 0.35, 0.95])
+def test_pairs_across_tight_clusters(spark, least):
+    """Blocks that can be ruled out, blocks of one cluster, a zero vector."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 8)) * 5
+    v = np.vstack([c + rng.normal(size=(40, 8)) for c in centres] + [np.zeros((1, 8))])
+    df = spark.createDataFrame([(i, x.tolist(), i // 40) for i, x in enumerate(v)], "id bigint, v array<double>, cluster int")
+    got = [(r.a, r.b) for r in D.cosine_pairs(df, "id", "v", least, cell=15).collect()]
+    x = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
+    assert sorted(got) == sorted(zip(a.tolist(), b.tolist(), strict=True))
