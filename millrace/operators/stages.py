@@ -376,9 +376,18 @@ class EpisodeDetector(Stage):
         return episodes.episode_bounds(episodes.detect_episodes(df), "episode_id", "step", self.least, self.most)
 
 
+def align_clocks(df: DataFrame) -> DataFrame:
+    """Times of the modalities that have a column of their own; rows whose times lie apart get a warning. Without such a column, as it is."""
+    clocks = {m: f"{m}_timestamp" for m in ("video", "sensor", "text") if f"{m}_timestamp" in df.columns}
+    if not clocks:
+        return df
+    out = episodes.align_times(df, clocks)
+    return out.withColumn("temporal_consistency_warning", F.when(~F.col("temporal_consistent"), True))
+
+
 def default_stages() -> list[Stage]:
     """The usual chain; it works on any mix of records."""
     return [
-        TextProcessor(), stage(validation.completeness), stage(validation.cross_modal), stage(validation.corruption, checksum=False),
-        stage(validation.quality), stage(validation.anomaly),
+        stage(episodes.detect_episodes), stage(align_clocks), TextProcessor(), stage(validation.completeness), stage(validation.physics, rejecting=False),
+        stage(validation.cross_modal), stage(validation.corruption, checksum=False), stage(validation.quality), stage(validation.anomaly),
     ]

@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.frame import Frame
+from millrace.functions.hashing import row_key
 from millrace.operators import stages as S
+from millrace.operators.order import with_row_index
 from millrace.plans.execution import Checkpoints, Lineage
 from millrace.sources.registry import load
 from millrace.sources.robotics import read_generated_videos, read_rendered, read_simulation, read_trajectories
 from millrace.sources.writers import write, write_output
 
 COMPUTE_MODES = ("auto", "cpu", "gpu")
+DEDUP_METHODS = ("fuzzy", "semantic", "both", "sequence")
 SOURCE_TYPES: dict[str, Callable[..., DataFrame]] = {
     "path": lambda s, path, **o: load(s, path, **o), "trajectories": read_trajectories,
     "simulation": lambda s, path, robot_type="humanoid", **o: read_simulation(s, path, robot_type), "rendered": lambda s, path, **o: read_rendered(s, path), "generated_videos": lambda s, path, **o: read_generated_videos(s, path),
@@ -59,6 +62,7 @@ class PipelineConfig:
     output_format: str | None = None
     dedup_method: str | None = None
     similarity_threshold: float = 0.95
+    dedup_options: dict[str, Any] = field(default_factory=dict)
     options: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -73,6 +77,8 @@ class PipelineConfig:
             raise ValueError(f"compute_mode must be one of {COMPUTE_MODES}")
         if not 0 <= self.similarity_threshold <= 1:
             raise ValueError("similarity_threshold must be in [0, 1]")
+        if self.dedup_method is not None and self.dedup_method not in DEDUP_METHODS:
+            raise ValueError(f"dedup_method must be one of {DEDUP_METHODS}")
 
     @classmethod
     def from_dict(cls, given: dict[str, Any]) -> PipelineConfig:
@@ -89,7 +95,11 @@ def _source(spec: Any) -> dict[str, Any]:
 
 
 class Pipeline:
-    """Sources, stages and an output. `run` builds one lazy plan and writes it once."""
+    """Sources, stages and an output. `run` builds one lazy plan and writes it once.
+
+    With a dedup_method the given stages are followed by a deduplication with the similarity_threshold; dedup_options are
+    its further arguments (id_col, column, embedding, cluster).
+    """
 
     def __init__(self, sources: Any, output: str | None = None, stages: Iterable[Any] = (), spark: SparkSession | None = None, **options: Any):
         listed = sources if isinstance(sources, list) else [sources]
@@ -100,6 +110,10 @@ class Pipeline:
         if output and any(s.get("path") == output for s in self.sources):
             raise ValueError("the output can't be a source")
         self.stages: list[S.Stage] = [as_stage(s) for s in stages]
+        self.dedup: S.Stage | None = None
+        if method := self.config.dedup_method:
+            self.dedup = as_stage(deduplication(method, self.config.similarity_threshold, **self.config.dedup_options), f"dedup_{method}")
+            self.stages.append(self.dedup)
         self.spark = spark
 
     @classmethod
@@ -184,13 +198,15 @@ class Pipeline:
     def __add__(self, other: Pipeline) -> Pipeline:
         """Sources of both; the left output and stages win."""
         out = Pipeline([*self.sources, *other.sources], self.config.output or other.config.output, self.stages or other.stages, self.spark or other.spark)
-        out.config = self.config
+        out.config, out.dedup = self.config, self.dedup
         return out
 
     def to_yaml(self, path: str) -> None:
         import yaml
 
-        spec = {"sources": [s for s in self.sources if "path" in s], "output": self.config.output, "compute_mode": self.config.compute_mode, "stages": self.get_stage_names()}
+        spec = {"sources": [s for s in self.sources if "path" in s], "output": self.config.output, "compute_mode": self.config.compute_mode, "stages": [s.name for s in self.stages if s is not self.dedup]}
+        if self.dedup:
+            spec |= {k: getattr(self.config, k) for k in ("dedup_method", "similarity_threshold", "dedup_options")}
         with open(path, "w") as f:
             yaml.safe_dump(spec, f, sort_keys=False)
 
@@ -387,23 +403,30 @@ class PipelineBuilder:
         return self.build().run()
 
 
-def deduplication(method: str, threshold: float, id_col: str, column: str | None = None, **options: Any) -> Callable[[DataFrame], DataFrame]:
+def deduplication(method: str, threshold: float, id_col: str = "id", column: str | None = None, **options: Any) -> Callable[[DataFrame], DataFrame]:
+    """The first of each set of duplicates, by `id_col` or, without that column, in an order fixed by the rows' values.
+
+    Rows are numbered, so ids may be of any type, null or, after a union of sources, used twice.
+    """
     from millrace.operators import dedup as D
 
     def keep(df: DataFrame, decided: DataFrame) -> DataFrame:
-        gone = decided.filter("not keep").select(F.col("id").alias(id_col))
-        return df.join(gone, id_col, "left_anti")
+        gone = decided.filter("not keep").select(F.col("id").alias("_dedup"))
+        return df.join(gone, "_dedup", "left_anti")
 
     def run(df: DataFrame) -> DataFrame:
+        df = with_row_index(df.withColumn("_key", row_key(df)), [*([id_col] if id_col in df.columns else []), "_key"], "_dedup").drop("_key")
         if method in ("fuzzy", "both"):
-            df = keep(df, D.dedup_texts(df, id_col, column or ("text" if "text" in df.columns else "content"), threshold))
+            df = keep(df, D.dedup_texts(df, "_dedup", column or ("text" if "text" in df.columns else "content"), threshold))
         if method in ("semantic", "both"):
-            df = keep(df, D.dedup_embeddings(df, id_col, options.get("embedding", "embedding"), threshold, cluster=options.get("cluster")))
+            df = keep(df, D.dedup_embeddings(df, "_dedup", options.get("embedding", "embedding"), threshold, cluster=options.get("cluster")))
         if method == "sequence":
-            df = keep(df, D.dedup_sequences(df, id_col, column or "sequence"))
-        return df
+            df = keep(df, D.dedup_sequences(df, "_dedup", column or "sequence"))
+        return df.drop("_dedup")
 
-    if method not in ("fuzzy", "semantic", "both", "sequence"):
+    if unknown := set(options) - {"embedding", "cluster"}:
+        raise ValueError(f"unknown options {sorted(unknown)}")
+    if method not in DEDUP_METHODS:
         raise ValueError(f"unknown method {method}")
     return run
 

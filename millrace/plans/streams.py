@@ -80,6 +80,26 @@ def pipeline_end_to_end(s: SparkSession, d: str) -> DataFrame:
     return built.plan().select("event_type", F.col("count(event_id)").alias("n"), F.col("max(feature_double)").alias("top"))
 
 
+@query("pipeline_dedup_semantic", """SELECT vec_id, label FROM embeddings b WHERE NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.label = b.label AND a.vec_id < b.vec_id
+    AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35)""")
+def pipeline_dedup_semantic(s: SparkSession, d: str) -> DataFrame:
+    from millrace.plans.pipeline import Pipeline
+
+    built = Pipeline(read(s, d, "embeddings"), spark=s, dedup_method="semantic", similarity_threshold=0.35, dedup_options={"id_col": "vec_id", "cluster": "label"})
+    return built.plan().select("vec_id", "label")
+
+
+@query("pipeline_default_dedup")
+def pipeline_default_dedup(s: SparkSession, d: str) -> DataFrame:
+    """Documents through the default chain, then without near-duplicate texts."""
+    from millrace.operators.stages import default_stages
+    from millrace.plans.pipeline import Pipeline
+
+    docs = read(s, d, "documents")
+    built = Pipeline(docs, stages=default_stages(), spark=s, dedup_method="fuzzy", similarity_threshold=0.8, dedup_options={"id_col": "doc_id"})
+    return built.plan().select("doc_id", "text_length", "quality_score", "anomaly_score")
+
+
 @query("partitioned_output", "SELECT coalesce(lang, 'unknown') AS lang, count(*) AS n FROM documents GROUP BY 1")
 def partitioned_output(s: SparkSession, d: str) -> DataFrame:
     from millrace.sources.writers import write_output
