@@ -281,7 +281,7 @@ def implausible_readings(
     in a series where no single value makes up more than half, or if it is in a burst of one to three readings that all
     lie above (or all below) both readings next to the burst by more than `factor` median detail magnitudes.
     Null and NaN readings are in no series. Rows with equal source and time are copies: they count as one reading, taken
-    from the copy with the smallest id that has one, and are flagged together. A null source is a source of its own. Rows
+    (each device by itself) from the copy with the smallest id that has one, and are flagged together. A null source is a source of its own. Rows
     with a null or NaN time belong to no series; only the bounds are tested on them. An unknown upper bound
     isn't tested. Rows with a null id are read but can't be reported. An empty table gives an empty result; other
     columns don't matter, whatever their names.
@@ -292,15 +292,27 @@ def implausible_readings(
     for k, m in enumerate(metrics):
         taken += [F.col(m.name).alias(f"v{k}"), F.expr(m.high).alias(f"h{k}")]
     base = df.select(*taken)
-    aggs = []
-    for k in range(len(metrics)):
-        known = F.when(F.col(f"v{k}").isNotNull(), F.col("id"))
-        aggs += [F.min_by(f"v{k}", known).alias(f"v{k}"), F.min_by(f"h{k}", known).alias(f"h{k}")]
-    readings = base.filter("ts is not null").groupBy("w", "ts").agg(*aggs)
+    kinds = dict(base.dtypes)
+    widths = base.agg(F.count("*").alias("n"), *[F.max(F.size(f"v{k}")).alias(f"v{k}") for k, m in enumerate(metrics) if m.per_device]).first()
+    aggs, made = [], []
+    for k, m in enumerate(metrics):
+        v, h = F.col(f"v{k}"), F.col(f"h{k}")
+        places = range(widths[f"v{k}"] or 0) if m.per_device else [None]
+        xs = [F.nanvl((v if i is None else F.get(v, F.lit(i))).cast("double"), F.lit(None)) for i in places]
+        hs = [(F.get(h, F.lit(i)) if kinds[f"h{k}"].startswith("array") else h).cast("double") for i in places]
+        for i, (x, top) in enumerate(zip(xs, hs)):
+            known = x.isNotNull()
+            aggs += [F.min_by(x, F.when(known, F.col("id"))).alias(f"v{k}_{i}"), F.min_by(top, F.when(known & top.isNotNull(), F.col("id"))).alias(f"h{k}_{i}")]
+        if m.per_device:
+            aggs.append(F.coalesce(F.max(F.size(v)), F.lit(0)).alias(f"n{k}"))
+            made += [F.slice(F.array(*[F.col(f"{c}{k}_{i}") for i in places]).cast("array<double>"), F.lit(1), F.greatest(f"n{k}", F.lit(0))).alias(f"{c}{k}") for c in "vh"]
+        else:
+            made += [F.col(f"{c}{k}_0").alias(f"{c}{k}") for c in "vh"]
+    readings = base.filter("ts is not null").groupBy("w", "ts").agg(*aggs).select("w", "ts", *made)
     untimed = [
-        base.filter("ts is null").select("id", *_bounds(m, k, dict(base.dtypes)[f"h{k}"].startswith("array"))) for k, m in enumerate(metrics)
+        base.filter("ts is null").select("id", *_bounds(m, k, kinds[f"h{k}"].startswith("array"))) for k, m in enumerate(metrics)
     ]
-    blocks = blocks or max(spark.sparkContext.defaultParallelism, -(-df.count() // block_rows))
+    blocks = blocks or max(spark.sparkContext.defaultParallelism, -(-widths["n"] // block_rows))
     placed = readings.repartitionByRange(blocks, "w", "ts").sortWithinPartitions("w", "ts")
     out = cut(placed.mapInArrow(_block(metrics, factor), _DDL), "blocks")
 
