@@ -20,8 +20,6 @@ from typing import Any
 import numpy as np
 
 Rows = Iterator[dict[str, Any]]
-MAX_ENTRY = 10 << 20
-MAX_POINTS = 1_000_000
 
 
 def as_json(value: Any) -> str:
@@ -36,13 +34,15 @@ def as_json(value: Any) -> str:
 ARCHIVE = "entry_name string, size bigint, compressed_size bigint, is_dir boolean, entry_index int, content binary, extract_error string"
 
 
-def archive(data: bytes, path: str, extract: bool = True, max_size: int = MAX_ENTRY, pattern: str | None = None) -> Rows:
-    """One row for each entry of a zip or tar(.gz/.bz2); contents up to `max_size`."""
+def archive(data: bytes, path: str, extract: bool = True, max_size: int | None = None, pattern: str | None = None) -> Rows:
+    """One row for each entry of a zip or tar(.gz/.bz2); with `max_size`, a larger entry has an extract_error instead of its content."""
     import fnmatch
 
     def row(i: int, name: str, size: int, packed: int | None, is_dir: bool, read: Any) -> dict[str, Any]:
         content = error = None
-        if extract and not is_dir and size <= max_size:
+        if extract and not is_dir and max_size is not None and size > max_size:
+            error = f"skipped: {size} bytes, max_size is {max_size}"
+        elif extract and not is_dir:
             try:
                 content = read()
             except Exception as e:
@@ -174,8 +174,8 @@ POINTS = "points array<array<double>>, colors array<array<double>>, normals arra
 _PLY = {"char": "i1", "uchar": "u1", "int8": "i1", "uint8": "u1", "short": "i2", "ushort": "u2", "int16": "i2", "uint16": "u2", "int": "i4", "uint": "u4", "int32": "i4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
 
-def pointcloud(data: bytes, path: str, max_points: int = MAX_POINTS, seed: int = 42) -> Rows:
-    """Points, colours and normals of a pcd or ply file (ascii or binary); above `max_points` a seeded sample of them."""
+def pointcloud(data: bytes, path: str, max_points: int | None = None, seed: int = 42) -> Rows:
+    """Points, colours and normals of a pcd or ply file (ascii or binary); above `max_points`, if given, a seeded sample of them."""
     if path.lower().endswith((".las", ".laz")):
         raise RuntimeError("LAS and LAZ files need the package laspy")
     lines = io.BytesIO(data)
@@ -217,7 +217,7 @@ def pointcloud(data: bytes, path: str, max_points: int = MAX_POINTS, seed: int =
     else:
         flat = [x.split() for x in rest.decode("latin-1").splitlines() if x.strip()][:count]
         values = np.array([[float(v) for v in row[: len(fields)]] for row in flat]).reshape(-1, len(fields))
-    if len(values) > max_points:
+    if max_points is not None and len(values) > max_points:
         values = values[np.sort(np.random.default_rng(seed).choice(len(values), max_points, replace=False))]
 
     def pick(*names: str) -> list | None:
