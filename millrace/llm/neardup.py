@@ -1,12 +1,14 @@
-"""Near-duplicate records: an exact similarity self-join of n-gram sets by a prefix tree.
+"""Near-duplicate records: an exact similarity self-join of n-gram sets by a prefix index with a sketch filter.
 
 Each distinct normalised text is a set of n-grams in one global order (rare ones first by a hashed frequency table of
-fixed size, ties by hash). A set hangs in the tree under each gram of its prefix (two sets above the threshold share one
-there), then under its size, then under the words of a parity sketch of the set. A set is joined with its subtree level by
-level: positions of the shared gram and sizes bound what overlap can remain, and each sketch word adds the
-differences it proves, shared by all sets below that node; a branch is left as soon as the remaining length can't reach the
-threshold. The sketch of two sets differs in at most as many bits as the sets in grams, so nothing is lost.
-Survivors are verified on the grams themselves. The walk runs over sorted arrays, a level at a time for all sets of a block.
+fixed size, ties by hash). A set is posted under each gram of its prefix (two sets above the threshold share one there),
+in order of its size. Positions of the shared gram and sizes bound what overlap can remain; each pair left is then tested by
+itself against the words of the parity sketches of both sets, and given up as soon as the differences proved are too many.
+The sketch of two sets differs in at most as many bits as the sets in grams, so nothing is lost. Survivors are verified on
+the grams themselves.
+
+This stands in for a trie of ordered n-grams: below the shared gram and the size there are no levels of further grams,
+and no partial overlap is shared between sets with a common path. README says why.
 """
 
 from __future__ import annotations
