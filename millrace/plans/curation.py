@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import records as R
 from millrace.functions import text as X
-from millrace.functions.hashing import md5_mod
 from millrace.operators import statistics as S
 from millrace.operators import validation as V
+from millrace.operators.training import train_split
 from millrace.plans.catalog import query, read
 
 
@@ -297,6 +297,14 @@ def shard_task(s: SparkSession, d: str) -> DataFrame:
     return shard(read(s, d, "test_groot").filter("coalesce(task_id, episode_id) is not null"), 10, "task_based").select("row_id", "shard_id")
 
 
+# The operators' fallback for rows without the keys is row_id: SQL has no equal of the row hash.
+@query("shard_task_all", f"SELECT row_id, {_md5('coalesce(task_id, episode_id, row_id::VARCHAR)', 10)} AS shard_id FROM test_groot")
+def shard_task_all(s: SparkSession, d: str) -> DataFrame:
+    from millrace.operators.stages import shard
+
+    return shard(read(s, d, "test_groot"), 10, "task_based", "row_id").select("row_id", "shard_id")
+
+
 @query("shard_round_robin", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 8 AS shard_id FROM documents")
 def shard_round_robin(s: SparkSession, d: str) -> DataFrame:
     from millrace.operators.stages import shard
@@ -313,4 +321,10 @@ def shard_stats(s: SparkSession, d: str) -> DataFrame:
 @query("split_md5", f"SELECT row_id, {_md5('episode_id', 100)} < 90 AS is_train FROM test_groot WHERE episode_id IS NOT NULL")
 def split_md5(s: SparkSession, d: str) -> DataFrame:
     df = read(s, d, "test_groot").filter("episode_id is not null")
-    return df.select("row_id", (md5_mod(F.col("episode_id"), 100) < 90).alias("is_train"))
+    return train_split(df).select("row_id", (F.col("split") == "train").alias("is_train"))
+
+
+@query("split_md5_all", f"SELECT row_id, CASE WHEN {_md5('coalesce(episode_id, row_id::VARCHAR)', 100)} < 90 THEN 'train' ELSE 'val' END AS split FROM test_groot")
+def split_md5_all(s: SparkSession, d: str) -> DataFrame:
+    """All rows by train_split; row_id stands in as the path of rows without an episode."""
+    return train_split(read(s, d, "test_groot").withColumn("path", F.col("row_id").cast("string"))).select("row_id", "split")
