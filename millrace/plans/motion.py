@@ -47,6 +47,14 @@ def transition_validate(s: SparkSession, d: str) -> DataFrame:
     return E.validate_transitions(E.transitions(df, "label", "vec_id", "state", "a")).select("step", "transition_valid")
 
 
+@query("transition_validate_whole", """SELECT step, len(state) = len(next_state) AS transition_valid FROM (SELECT id AS step, values AS state, lead(values) OVER (PARTITION BY metadata.source ORDER BY id) AS next_state FROM mock_data)
+    WHERE state IS NOT NULL AND next_state IS NOT NULL""")
+def transition_validate_whole(s: SparkSession, d: str) -> DataFrame:
+    """States are whole arrays of naturally varying length, where transition_validate has at most three values."""
+    df = read(s, d, "mock_data").select("id", F.col("metadata.source").alias("source"), F.col("values").alias("state"), F.lit(1).alias("a"))
+    return E.validate_transitions(E.transitions(df, "source", "id", "state", "a")).select("step", "transition_valid")
+
+
 @query("temporal_align", """SELECT event_id, ref AS time_reference, gap <= 1.0 AS temporal_consistent FROM (SELECT event_id, coalesce(a, b) AS ref, CASE WHEN a IS NULL THEN 0.0 ELSE abs(b - a) END AS gap FROM
     (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_id::DOUBLE END AS a, event_id + (event_id % 5) * 0.4 AS b FROM events))""")
 def temporal_align(s: SparkSession, d: str) -> DataFrame:
@@ -85,6 +93,34 @@ def _resampled(s: SparkSession, d: str, method: str) -> DataFrame:
     return df.select("vec_id", F.transform(A.resample(times, F.col("e"), 2.0, method)["values"], lambda x: F.round(x, 6)).alias("values"))
 
 
+_WHOLE = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
+
+
+def _resample_whole(method: str, value: str) -> str:
+    return f"SELECT vec_id, list_transform(range(127), lambda i: round({value}, 6)) AS values FROM {_WHOLE}"
+
+
+@query("resample_linear_whole", _resample_whole("linear", "(e[1 + i // 2] + e[1 + (i + 1) // 2]) / 2"))
+def resample_linear_whole(s: SparkSession, d: str) -> DataFrame:
+    """All 64 values of each vector, where resample_linear has the first six."""
+    return _resampled_whole(s, d, "linear")
+
+
+@query("resample_nearest_whole", _resample_whole("nearest", "e[1 + ((i + 1) // 2)]"))
+def resample_nearest_whole(s: SparkSession, d: str) -> DataFrame:
+    return _resampled_whole(s, d, "nearest")
+
+
+@query("resample_cubic_whole")
+def resample_cubic_whole(s: SparkSession, d: str) -> DataFrame:
+    return _resampled_whole(s, d, "cubic")
+
+
+def _resampled_whole(s: SparkSession, d: str, method: str) -> DataFrame:
+    times = F.transform(F.sequence(F.lit(0), F.size("e") - 1), lambda i: i.cast("double"))
+    return _vectors(s, d).select("vec_id", F.transform(A.resample(times, F.col("e"), 2.0, method)["values"], lambda x: F.round(x, 6)).alias("values"))
+
+
 @query("teleop_segments", """SELECT user_id, segment_start, segment_end FROM (SELECT user_id, t AS segment_start, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS segment_end FROM
     (SELECT user_id, event_id, epoch(ts)::DOUBLE AS t FROM events)) WHERE segment_end - segment_start BETWEEN 60 AND 86400""")
 def teleop_segments(s: SparkSession, d: str) -> DataFrame:
@@ -177,6 +213,35 @@ def causal_mask(s: SparkSession, d: str) -> DataFrame:
     return T.attention_masks(_cut(s, d), "e", "causal", "m").select("vec_id", "m")
 
 
+# Whole arrays of naturally varying length; _CUT takes prefixes of the vectors.
+_VALUES = "(SELECT id, values AS e FROM mock_data WHERE values IS NOT NULL)"
+
+
+def _values(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "mock_data").filter("values is not null").select("id", F.col("values").alias("e"))
+
+
+@query("seq_pad_truncate_whole", f"SELECT id, CASE WHEN len(e) >= 6 THEN e[len(e) - 5:] ELSE list_concat(e, list_transform(range(6 - len(e)), lambda i: coalesce(e[len(e)], 0.0))) END AS e FROM {_VALUES}")
+def seq_pad_truncate_whole(s: SparkSession, d: str) -> DataFrame:
+    return _values(s, d).select("id", A.fit_length(F.col("e"), 6, "start", "repeat").alias("e"))
+
+
+@query("seq_normalize_whole", f"""SELECT id, len(e) AS e_original_length, n AS e_normalized_length, len(e) < n AS e_was_padded, false AS e_was_truncated, list_concat(e, list_transform(range(n - len(e)), lambda i: 0.0)) AS e
+    FROM {_VALUES}, (SELECT max(len(e)) AS n FROM {_VALUES})""")
+def seq_normalize_whole(s: SparkSession, d: str) -> DataFrame:
+    return E.normalize_sequences(_values(s, d), ["e"])
+
+
+@query("seq_pack_mask_whole", f"SELECT id, CASE WHEN len(e) >= 8 THEN e[:8] ELSE list_concat(e, list_transform(range(8 - len(e)), lambda i: 0.0)) END AS e, list_transform(range(1, 9), lambda i: CASE WHEN i <= len(e) THEN 1 ELSE 0 END) AS e_mask FROM {_VALUES}")
+def seq_pack_mask_whole(s: SparkSession, d: str) -> DataFrame:
+    return T.pack_sequences(_values(s, d), ["e"], 8)
+
+
+@query("causal_mask_whole", f"SELECT id, list_transform(range(len(e)), lambda r: list_transform(range(len(e)), lambda c: CASE WHEN c <= r THEN 1 ELSE 0 END)) AS m FROM {_VALUES}")
+def causal_mask_whole(s: SparkSession, d: str) -> DataFrame:
+    return T.attention_masks(_values(s, d), "e", "causal", "m").select("id", "m")
+
+
 @query("vector_topk", """SELECT query_id, id, round(distance, 5) AS distance, rank FROM (SELECT q.vec_id AS query_id, r.vec_id AS id, list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS distance,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), r.vec_id) AS rank FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0) WHERE rank <= 10""")
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
