@@ -1,20 +1,20 @@
-"""Near-duplicate records: an exact similarity self-join of n-gram sets by a prefix index with a sketch filter.
-
-Each distinct normalised text is a set of n-grams in one global order (rare ones first by a hashed frequency table of
-fixed size, ties by hash). A set is posted under each gram of its prefix (two sets above the threshold share one there),
-in order of its size. Positions of the shared gram and sizes bound what overlap can remain; each pair left is then tested by
-itself against the words of the parity sketches of both sets, and given up as soon as the differences proved are too many.
-The sketch of two sets differs in at most as many bits as the sets in grams, so nothing is lost. Survivors are verified on
-the grams themselves.
-
-This stands in for a trie of ordered n-grams: below the shared gram and the size there are no levels of further grams,
-and no partial overlap is shared between sets with a common path. README says why.
+"""Near-duplicate records: an exact similarity self-join of n-gram sets by prefix trees.
+
+Each distinct normalised text is a set of n-grams in one global order, rare ones first by a hashed frequency table. Two sets
+above the threshold share a gram of their prefixes, so each set is hung into the tree of every gram of its prefix. Below that
+gram the levels are: the size of the set, then its further grams in global order, one band of the order a level. An edge
+is the parity word of the set's grams in that band, and sets whose words agree so far share the path. A traversal takes the tree against
+itself: a pair of nodes carries one partial overlap (as grams that are known to differ) for all pairs of sets below. It starts
+from the depth at which the shared gram stands, since all grams before it differ, and adds the bits in which the words
+differ, at most as many as the grams do. A pair of subtrees is left as soon as what remains of the sets can't make up for it. So no pair
+is lost, and what comes out is verified on the grams themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,18 @@ from millrace.session import cut, spread
 
 GRAM = 5
 THRESHOLD = 0.8
-#: log2 of the size of the frequency table, which is sent to all tasks (4 bytes an entry).
+#: log2 of the size of the frequency table, which is sent to all tasks (5 bytes an entry). It only sets the order.
 TABLE_BITS = 20
-#: Sets that one cell of a hot gram takes; a hotter gram is split into pairs of cells.
+#: Sets that one cell of a hot gram takes; the tree of a hotter gram is split into pairs of cells.
 CELL = 20_000
-#: Postings of one block and pairs walked at once.
-BLOCK_POSTINGS, WALK = 400_000, 1_000_000
-WIDEST = 64  # words of a sketch
+#: Hot grams that are sent to all tasks at once; if there are more, the grams are taken in as many passes as needed.
+HOT_SENT = 500_000
+#: Postings of one block, and pairs of nodes held at once.
+BLOCK_POSTINGS, WALK = 500_000, 1_000_000
+SLOTS = 64  # finest bands, and most words of a set
+NO_SLOT = 255  # the rarest grams, which make the prefixes, are in no band
+RAREST = 0.2
+TEXTS = 2_000  # texts whose grams are made at once
 _EPS = 1e-9
 
 
@@ -43,226 +48,431 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def gram_hashes(text: str, n: int = GRAM) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the substrings of `n` characters; empty for shorter texts."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(c) < n:
-        return np.empty(0, np.uint64)
+@dataclass(frozen=True)
+class Order:
+    """A global order of grams: `rank` of each hash bucket, and `slot`, the band of each rank."""
+
+    bits: int
+    rank: np.ndarray
+    slot: np.ndarray
+
+    @staticmethod
+    def of(freq: np.ndarray) -> Order:
+        by = np.argsort(freq, kind="stable")
+        rank = np.empty(len(freq), np.uint32)
+        rank[by] = np.arange(len(freq), dtype=np.uint32)
+        share = (np.cumsum(freq[by]) - freq[by] / 2) / max(1, freq.sum())
+        band = np.clip((share - RAREST) / (1 - RAREST) * SLOTS, 0, SLOTS - 1).astype(np.uint8)
+        return Order(len(freq).bit_length() - 1, rank, np.where(share < RAREST, np.uint8(NO_SLOT), band).astype(np.uint8))
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """Hashes re-coded one to one, so that they sort in the global order."""
+        bucket = (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        return (self.rank[bucket].astype(np.uint64) << np.uint64(64 - self.bits)) | (h >> np.uint64(self.bits))
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return self.slot[(keys >> np.uint64(64 - self.bits)).astype(np.int64)]
+
+
+def gram_sets(texts: list[str], n: int = GRAM, order: Order | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, sizes): the distinct substrings of `n` characters of each text as 64-bit hashes (or keys of `order`), ascending, one text after another."""
+    length = np.array([len(t) for t in texts], np.int64)
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    count = np.maximum(length - n + 1, 0)
+    if not count.sum():
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
     m = len(c) - n + 1
     h = np.zeros(m, np.uint64)
     for k in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + m] + np.uint64(1)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += c[k : k + m]
+        h += np.uint64(1)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    return np.unique(h)
+    end = np.cumsum(count)
+    start = end - count
+    h = h[np.repeat(np.cumsum(length) - length - start, count) + np.arange(end[-1])]
+    if order:
+        h = order.keys(h)
+    for a, b in zip(start.tolist(), end.tolist()):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    new[start[count > 0]] = True
+    whose = np.repeat(np.arange(len(texts)), count)
+    return h[new], np.bincount(whose[new], minlength=len(texts))
+
+
+def sketch_words(size: np.ndarray) -> np.ndarray:
+    """Words of a set: a power of two with about half a bit a gram, so that unrelated sets of that size differ in more bits than allowed."""
+    need = np.maximum(0.48 * np.asarray(size, float) / 64, 1.0)
+    return np.clip(1 << np.ceil(np.log2(need) - _EPS).astype(np.int64), 2, SLOTS)
+
+
+def parity_words(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The words of all sets, one set after another. Bit i of a word is the parity of the grams of its band that hash to i, so the XOR of two is that of the grams in which they differ."""
+    first = np.cumsum(words) - words
+    banded = slots != NO_SLOT
+    whose = np.repeat(np.arange(len(sizes)), sizes)[banded]
+    word = first[whose] + (slots[banded].astype(np.int64) * words[whose]) // SLOTS
+    bit = word * 64 + (keys[banded] & np.uint64(63)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=64 * int(words.sum())) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def sketch_words(size: int) -> int:
-    """Words of the sketch of a set: a power of two with about 0.6 bits a gram, so that unrelated sets of that size differ in more bits than allowed."""
-    return min(WIDEST, max(4, 1 << max(0, math.ceil(math.log2(max(1.0, 0.6 * size / 64))))))
+def folded(words: np.ndarray, to: int) -> np.ndarray:
+    """Rows of words as rows of `to` wider bands."""
+    n, w = words.shape
+    return np.bitwise_xor.reduce(words.reshape(n, to, w // to), axis=2)
 
 
-def parity_sketch(h: np.ndarray, words: int) -> np.ndarray:
-    """Bit i is the parity of the number of grams that hash to i, so the sketch of a difference is the XOR of the sketches."""
-    bits = np.bincount((h >> np.uint64(7)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+def prefix_sizes(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    return np.where(sizes > 0, sizes - np.ceil(threshold * sizes - _EPS).astype(np.int64) + 1, 0)
 
 
-def _frequencies(units: DataFrame, bits: int, n: int) -> np.ndarray:
-    """How often grams of each hash bucket occur over all sets; a table of fixed size."""
+def _slices(texts: list) -> Iterator[tuple[int, list]]:
+    """Runs of whole texts of bounded total length (a longer text by itself)."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if i + 1 - lo >= TEXTS or size > 1_000_000:
+            yield lo, texts[lo : i + 1]
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, texts[lo:]
+
+
+def _frequencies(units: DataFrame, bits: int, n: int) -> tuple[np.ndarray, int]:
+    """(table, sets): how often grams of each hash bucket occur over all sets, in a table of fixed size, and the number of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total, sets = np.zeros(1 << bits, np.int64), 0
         for b in batches:
-            hs = [gram_hashes(t, n) for t in b.column(0).to_pylist()]
-            if hs:
-                total += np.bincount((np.concatenate(hs) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+            for _, texts in _slices(b.column(0).to_pylist()):
+                h, _ = gram_sets(texts, n)
+                total += np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+            sets += b.num_rows
         there = np.flatnonzero(total)
         for k in range(0, len(there), 100_000):
             part = there[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([sets], pa.int64())], names=["bucket", "n"])
 
     counted = units.select("norm").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, k = counted["bucket"].to_numpy(), counted["n"].to_numpy()
     out = np.zeros(1 << bits, np.int64)
-    out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    return out
+    out[bucket[bucket >= 0]] = k[bucket >= 0]
+    return out, int(k[bucket < 0].sum())
+
+
+def _hot_grams(units: DataFrame, sent, freq: np.ndarray, n: int, threshold: float, cell: int) -> DataFrame:
+    """(gram, n): the grams with more than `cell` postings and how many, counted exactly. Only buckets that hold so many grams can have one."""
+    hot = units.sparkSession.sparkContext.broadcast(np.packbits(freq > cell))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order: Order = sent.value
+        by_rank = np.zeros(1 << order.bits, bool)
+        by_rank[order.rank] = np.unpackbits(hot.value, count=1 << order.bits).astype(bool)
+        for b in batches:
+            for _, texts in _slices(b.column(0).to_pylist()):
+                keys, sizes = gram_sets(texts, n, order)
+                keys = keys[_in_prefix(sizes, threshold)]
+                keys = keys[by_rank[(keys >> np.uint64(64 - order.bits)).astype(np.int64)]]
+                grams, k = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(k.astype(np.int64))], names=["gram", "n"])
+
+    counted = units.select("norm").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return cut(counted.filter(F.col("n") > cell), "hot_grams")
+
+
+def _in_prefix(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Mask of the grams that are in the prefix of their set."""
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return at < np.repeat(prefix_sizes(sizes, threshold), sizes)
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(20)
 
-def _block_of(gram: np.ndarray, ci: np.ndarray, cj: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of a branch of the tree: all sets below one gram and cell pair meet there."""
-    h = gram.view(np.uint64) ^ (ci.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (cj.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return ((h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
 
+_COLUMNS = (np.uint32, np.uint8, np.uint32, np.uint32)  # gram, its slot, position, set
+_CELLS = (np.uint32, np.uint32, np.uint8)  # cells and side
 
-def _postings(table, bits: int, n: int, threshold: float, cell: int, blocks: int):
-    """Hang each set under the grams of its prefix; give (block, packed postings), a row for each block of a batch.
 
-    A gram that may be hot is split into pairs of cells of bounded size. Inside a packed row each set is there once.
+def _postings(sent, hot, n: int, threshold: float, cell: int, blocks: int, passes: int, turn: int):
+    """Hang each set under the grams of its prefix; give (block, packed postings), a row for each block of a run of texts.
+
+    A hot gram is split into pairs of cells of bounded size. In a packed row each set is there once. With more than one
+    pass only the grams of this turn are taken.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = table.value
-        mask = np.uint64((1 << bits) - 1)
+        order: Order = sent.value
+        hot_keys, hot_n = hot.value
         for b in batches:
-            posts: list[tuple] = []
-            sets: list[tuple] = []
-            made = 0
-            for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = gram_hashes(text, n)
-                if not len(h):
+            ids = b.column(0).to_numpy()
+            for lo, texts in _slices(b.column(1).to_pylist()):
+                keys, sizes = gram_sets(texts, n, order)
+                slots = order.slots(keys)
+                words = sketch_words(sizes)
+                sketch = parity_words(keys, sizes, words, slots)
+                at = np.flatnonzero(_in_prefix(sizes, threshold))
+                if passes > 1:
+                    at = at[(_mixed(keys[at]) >> np.uint64(9)) % np.uint64(passes) == turn]
+                if not len(at):
                     continue
-                f = freq[(h & mask).astype(np.int64)]
-                prefix = len(h) - math.ceil(threshold * len(h) - _EPS) + 1
-                order = np.lexsort((h, f))[:prefix]
-                grams, cells = h[order].view(np.int64), -(-f[order] // cell)
-                pos = np.arange(prefix, dtype=np.int32)
-                zero = np.zeros(prefix, np.int32)
-                ci, cj, side = zero, zero, zero.astype(np.int8)
-                hot = np.flatnonzero(cells > 1)
-                if len(hot):
-                    cold = np.flatnonzero(cells <= 1)
-                    parts = [(grams[cold], zero[: len(cold)], zero[: len(cold)], side[: len(cold)], pos[cold])]
-                    for i in hot:
-                        k = int(cells[i])
-                        own = (uid * 0x9E3779B97F4A7C15 >> 20) % k
-                        other = np.arange(k, dtype=np.int32)
-                        parts.append((np.full(k, grams[i]), np.minimum(other, own).astype(np.int32), np.maximum(other, own).astype(np.int32), (other < own).astype(np.int8), np.full(k, pos[i], np.int32)))
-                    grams, ci, cj, side, pos = (np.concatenate(x) for x in zip(*parts))
-                posts.append((grams, ci, cj, side, pos, np.full(len(grams), len(sets), np.int32)))
-                sets.append((uid, len(h), parity_sketch(h, sketch_words(len(h)))))
-                made += len(grams)
-                if made >= 300_000:
-                    yield from _packed(posts, sets, blocks)
-                    posts, sets, made = [], [], 0
-            if made:
-                yield from _packed(posts, sets, blocks)
+                owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+                pos = at - (np.cumsum(sizes) - sizes)[owner]
+                posts = _celled(keys[at], slots[at], pos, owner, ids[lo : lo + len(texts)], hot_keys, hot_n, cell)
+                yield _packed(posts, ids[lo : lo + len(texts)], sizes, words, sketch, blocks)
 
     return run
 
 
-_COLUMNS = (np.int64, np.int32, np.int32, np.int8, np.int32, np.int32)  # gram, cells, side, position, set
-
-
-def _packed(posts: list[tuple], sets: list[tuple], blocks: int) -> Iterator[pa.RecordBatch]:
-    columns = [np.concatenate(c) for c in zip(*posts)]
-    block = _block_of(columns[0], columns[1], columns[2], blocks)
-    order = np.argsort(block, kind="stable")
-    columns, block = [c[order] for c in columns], block[order]
+def _celled(keys, slots, pos, owner, uid, hot_keys, hot_n, cell) -> list[np.ndarray]:
+    """Postings as key, slot, position, set, cells i <= j, side; a posting of a hot gram once for each cell its own one meets."""
+    zero = np.zeros(len(keys), np.int64)
+    cells = np.ones(len(keys), np.int64)
+    if len(hot_keys):
+        at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
+        cells = np.where(hot_keys[at] == keys, -(-hot_n[at] // cell), 1)
+    if (cells == 1).all():
+        return [keys, slots, pos, owner, zero, zero, zero]
+    every = np.repeat(np.arange(len(keys)), cells)
+    other = np.arange(len(every)) - np.repeat(np.cumsum(cells) - cells, cells)
+    own = (_mixed(uid.astype(np.uint64))[owner[every]] % cells[every].astype(np.uint64)).astype(np.int64)
+    return [keys[every], slots[every], pos[every], owner[every], np.minimum(own, other), np.maximum(own, other), (other < own).astype(np.int64)]
+
+
+def _packed(posts: list[np.ndarray], uid: np.ndarray, sizes: np.ndarray, words: np.ndarray, sketch: np.ndarray, blocks: int) -> pa.RecordBatch:
+    keys, ci, cj = posts[0], posts[4].astype(np.uint64), posts[5].astype(np.uint64)
+    block = (_mixed(keys ^ (ci * np.uint64(0x9E3779B97F4A7C15)) ^ (cj * np.uint64(0xD1B54A32D192ED03))) % np.uint64(blocks)).astype(np.int64)
+    by = np.argsort(block, kind="stable")
+    posts, block = [c[by] for c in posts], block[by]
+    # inside a block a gram goes by the upper half of its key: two grams in one tree only cost work
+    posts[0] = posts[0] >> np.uint64(32)
     edges = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
-    uid, size = np.array([x[0] for x in sets], np.int64), np.array([x[1] for x in sets], np.int32)
-    names, payloads = [], []
+    first = np.cumsum(words) - words
+    local = np.zeros(len(uid), np.int64)
+    payloads = []
     for lo, hi in zip(edges[:-1], edges[1:]):
-        part = [c[lo:hi] for c in columns]
-        own, part[5] = np.unique(part[5], return_inverse=True)
-        words = np.concatenate([sets[i][2] for i in own])
-        head = np.array([hi - lo, len(own), len(words)], np.int64)
-        arrays = [*(c.astype(t) for c, t in zip(part, _COLUMNS)), uid[own], size[own], words]
-        names.append(int(block[lo])), payloads.append(head.tobytes() + b"".join(x.tobytes() for x in arrays))
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(payloads, pa.binary())], names=["block", "payload"])
-
-
-def _unpacked(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Columns of the postings, then uid, size and sketch words of the sets they name."""
-    columns: list[list[np.ndarray]] = [[] for _ in _COLUMNS]
-    uids, sizes, words, before = [], [], [], 0
-    for data in payloads:
-        posts, sets, n_words = np.frombuffer(data, np.int64, 3)
-        at = 24
-        for k, (kind, count) in enumerate([*((t, posts) for t in _COLUMNS), (np.int64, sets), (np.int32, sets), (np.uint64, n_words)]):
-            x = np.frombuffer(data, kind, count, at)
-            at += x.nbytes
-            if k < len(_COLUMNS):
-                columns[k].append(x + before if k == 5 else x)
-            else:
-                (uids, sizes, words)[k - len(_COLUMNS)].append(x)
-        before += int(sets)
-    return [np.concatenate(c) for c in columns], *(np.concatenate(x) for x in (uids, sizes, words))
-
-
-class _Sketches:
-    """Sketches by width, each set also folded to half its width."""
-
-    def __init__(self, data: np.ndarray, sizes: np.ndarray):
-        known, which = np.unique(sizes, return_inverse=True)
-        self.width = np.array([sketch_words(int(s)) for s in known])[which]
-        start = np.cumsum(self.width) - self.width
-        self.row = np.zeros(len(sizes), np.int64)
-        self.folded_row = np.zeros(len(sizes), np.int64)
-        self.tables: dict[int, list[np.ndarray]] = {}
-        for w in np.unique(self.width):
-            at = np.flatnonzero(self.width == w)
-            own = data[start[at][:, None] + np.arange(w)]
-            table = self.tables.setdefault(int(w), [])
-            self.row[at] = sum(map(len, table)) + np.arange(len(at))
-            table.append(own)
-            if w > 4:
-                half = self.tables.setdefault(int(w) // 2, [])
-                self.folded_row[at] = sum(map(len, half)) + np.arange(len(at))
-                half.append(own[:, : w // 2] ^ own[:, w // 2 :])
-        self.whole = {w: np.ascontiguousarray(np.concatenate(t).T) for w, t in self.tables.items()}
-
-    def walk(self, a: np.ndarray, b: np.ndarray, budget: np.ndarray) -> np.ndarray:
-        """Which of the pairs may still be within their budget of differing grams after all levels."""
-        alive = np.zeros(len(a), bool)
-        wide = np.minimum(self.width[a], self.width[b])
+        part = [c[lo:hi] for c in posts]
+        there = np.zeros(len(uid), bool)
+        there[part[3]] = True
+        own = np.flatnonzero(there)
+        local[own] = np.arange(len(own))
+        part[3] = local[part[3]]
+        celled = bool(part[5].any())
+        w = words[own]
+        own_words = sketch[np.repeat(first[own] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
+        head = np.array([hi - lo, len(own), len(own_words), celled], np.int64)
+        arrays = [x.astype(t) for x, t in zip(part, _COLUMNS)] + [uid[own], sizes[own].astype(np.int32), own_words]
+        arrays += [x.astype(t) for x, t in zip(part[4:], _CELLS)] if celled else []
+        payloads.append(head.tobytes() + b"".join(x.tobytes() for x in arrays))
+    return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(payloads, pa.binary())], names=["block", "payload"])
+
+
+@dataclass
+class Postings:
+    """The postings of a block, and the sets they name: uid, size, and words by number of words."""
+
+    gram: np.ndarray
+    slot: np.ndarray
+    pos: np.ndarray
+    member: np.ndarray
+    ci: np.ndarray
+    cj: np.ndarray
+    side: np.ndarray
+    uid: np.ndarray
+    size: np.ndarray
+    words: dict[int, tuple[np.ndarray, np.ndarray]]  # number of words: (row of each set or -1, rows of words)
+
+    @staticmethod
+    def unpack(payloads: Iterator[bytes]) -> Postings:
+        kinds = [*_COLUMNS, np.int64, np.int32, np.uint64, *_CELLS]
+        parts: list[list[np.ndarray]] = [[] for _ in kinds]
+        before = 0
+        for data in payloads:
+            posts, sets, n_words, celled = np.frombuffer(data, np.int64, 4)
+            at = 32
+            for k, (kind, count) in enumerate(zip(kinds, [posts] * 4 + [sets, sets, n_words] + [posts] * 3)):
+                if k > 6 and not celled:
+                    x = np.zeros(posts, kind)
+                else:
+                    x = np.frombuffer(data, kind, count, at)
+                    at += x.nbytes
+                parts[k].append(x + np.uint32(before) if k == 3 else x)
+            before += int(sets)
+        gram, slot, pos, member, uid, size, words, ci, cj, side = (np.concatenate(x) for x in parts)
+        size = size.astype(np.int64)
+        # a set comes once for each packed row: the same set from two rows is no other set, but has the same uid
+        wide = sketch_words(size)
+        first = np.cumsum(wide) - wide
+        tables = {}
         for w in np.unique(wide):
-            at = np.flatnonzero(wide == w)
-            ra = np.where(self.width[a[at]] == w, self.row[a[at]], self.folded_row[a[at]])
-            rb = np.where(self.width[b[at]] == w, self.row[b[at]], self.folded_row[b[at]])
-            left = budget[at].astype(np.int32)
-            for level in self.whole[int(w)]:
-                left = left - np.bitwise_count(level[ra] ^ level[rb])
-                keep = np.flatnonzero(left >= 0)
-                if len(keep) < len(at):
-                    at, ra, rb, left = at[keep], ra[keep], rb[keep], left[keep]
-                if not len(at):
-                    break
-            alive[at] = True
-        return alive
+            own = np.flatnonzero(wide == w)
+            row = np.full(len(size), -1)
+            row[own] = np.arange(len(own))
+            tables[int(w)] = row, words[first[own][:, None] + np.arange(w)]
+        return Postings(gram, slot, pos.astype(np.int64), member.astype(np.int64), ci, cj, side, uid, size, tables)
 
 
-def _walk(threshold: float, walk: int):
-    """Join the sets below each gram of a block."""
+class Trees:
+    """The prefix trees of a block's grams, for the sets of one number of words and the larger ones that may be similar to them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+    Nodes are kept by level: under each gram the sizes, then a word a level. A node is a run of postings in sorted order
+    and of its children on the next level.
+    """
+
+    def __init__(self, block: Postings, width: int, threshold: float):
+        self.block, self.width, self.threshold = block, width, threshold
+        wide = sketch_words(block.size)
+        self.most = int(width * 64 / 0.48 + 1) if width < SLOTS else int(block.size.max(initial=1))  # the largest size with so many words
+        while width < SLOTS and sketch_words(np.array([self.most]))[0] > width:
+            self.most -= 1
+        joins = (wide == width) | ((wide > width) & (threshold * block.size <= self.most + _EPS))
+        row = np.full(len(block.size), -1)
+        tables, n = [], 0
+        for w, (rows, words) in block.words.items():
+            own = np.flatnonzero(joins & (rows >= 0))
+            if len(own):
+                row[own] = n + np.arange(len(own))
+                tables.append(folded(words[rows[own]], width))
+                n += len(own)
+        self.sets = np.concatenate(tables) if tables else np.zeros((0, width), np.uint64)
+        # rank of the word path of each set, so that one sort of whole numbers orders the postings
+        path = np.lexsort(self.sets.T[::-1])
+        of = np.empty(len(path), np.int64)
+        of[path] = np.arange(len(path))
+        at = np.flatnonzero(row[block.member] >= 0)
+        code, branch = np.unique((block.gram[at].astype(np.uint64) << np.uint64(32)) | (_mixed(block.ci[at].astype(np.uint64) << np.uint64(20) | block.cj[at].astype(np.uint64)) & np.uint64(0xFFFFFFFF)), return_inverse=True)
+        size, rank = block.size[block.member[at]], of[row[block.member[at]]]
+        by = np.lexsort((rank, branch * (int(size.max(initial=0)) + 1) + size))
+        at, branch, size = at[by], branch[by], size[by]
+        self.at, self.row = at, row[block.member[at]]
+        new = np.ones(len(at), bool)
+        new[1:] = (branch[1:] != branch[:-1]) | (size[1:] != size[:-1])
+        self.start: list[np.ndarray] = []  # of each level's nodes in the postings
+        self.label: list[np.ndarray] = []
+        for level in range(width + 1):
+            if level:
+                words = self.sets[self.row, level - 1]
+                new = new.copy()
+                new[1:] |= words[1:] != words[:-1]
+            self.start.append(np.flatnonzero(new))
+            self.label.append(self.sets[self.row[self.start[-1]], level - 1] if level else np.zeros(0, np.uint64))
+        self.end = [np.r_[s[1:], len(at)] for s in self.start]
+        pos = block.pos[at]
+        self.pos = pos
+        self.depth = [np.minimum.reduceat(pos, s) if len(s) else pos for s in self.start]
+        self.first = [np.searchsorted(below, s) for s, below in zip(self.start, self.start[1:])]
+        self.children = [np.searchsorted(below, e) - f for e, below, f in zip(self.end, self.start[1:], self.first)]
+        top = self.start[0]
+        self.branch, self.size = branch[top], size[top]
+        # grams of the bands up to that of the shared gram may be among those before it, which count already
+        slot = block.slot[at[top]]
+        self.band = np.where(slot == NO_SLOT, -1, slot.astype(np.int64) * width // SLOTS)
+        self.visits = 0
+
+    def pairs(self, walk: int = WALK) -> Iterator[np.ndarray]:
+        """Arrays of pairs of uids, ascending in a row, that may be similar."""
+        if not len(self.at):
             return
-        (gram, ci, cj, side, pos, member), uid, sizes, words = _unpacked([p for b in got for p in b.column(1).to_pylist()])
-        sketches = _Sketches(words, sizes)
-        order = np.lexsort((sizes[member], cj, ci, gram))
-        gram, ci, cj, side, pos, member = (x[order] for x in (gram, ci, cj, side, pos, member))
-        size = sizes[member]
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])]
-        branch = np.cumsum(new) - 1
-        span = int(size.max()) + 1
-        path = branch * (span + 1) + size
-        longest = np.minimum(np.floor(size / threshold + _EPS).astype(np.int64), span)
-        end = np.searchsorted(path, branch * (span + 1) + longest, side="right")
-        many = end - np.arange(len(path)) - 1
+        t, size, depth = self.threshold, self.size, self.depth[0]
+        # sizes up to which a partner's overlap may still be reached from this depth on
+        reach = np.floor(np.minimum((size - depth) * ((1 + t) / t) - size, size / t) + _EPS).astype(np.int64)
+        reach = np.where(size > self.most, -1, reach)  # two larger sets meet in their own tree
+        span = int(max(size.max(), reach.max(initial=0))) + 2
+        place = self.branch * span + size
+        here = np.arange(len(size))
+        many = np.maximum(np.searchsorted(place, self.branch * span + np.maximum(reach, -1), side="right") - here, 0)
         cum = np.cumsum(many)
-        found: list[np.ndarray] = []
         lo = 0
-        while lo < len(path):
+        while lo < len(size):
             base = cum[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(cum, base + walk, side="right")))
-            n = many[lo:hi]
-            if n.sum():
-                a = np.repeat(np.arange(lo, hi), n)
-                b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
-                both = size[a] + size[b]
-                least = np.ceil(threshold / (1 + threshold) * both - _EPS).astype(np.int64)
-                # what can still overlap from the shared gram on; in a cell pair only sets of different cells, else copies of work
-                fit = (pos[a] <= size[a] - least) & (pos[b] <= size[b] - least) & ((ci[a] == cj[a]) | (side[a] != side[b]))
-                a, b, budget = a[fit], b[fit], (both - 2 * least)[fit]
-                alive = sketches.walk(member[a], member[b], budget)
-                u, v = uid[member[a[alive]]], uid[member[b[alive]]]
-                found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
+            u = np.repeat(np.arange(lo, hi), many[lo:hi])
+            v = np.arange(len(u)) - np.repeat(cum[lo:hi] - many[lo:hi] - base, many[lo:hi]) + u
+            back = (size[v] - depth[v]) * ((1 + t) / t) - size[v]
+            ok = size[u] <= back + _EPS
+            u, v = u[ok], v[ok]
+            both = size[u] + size[v]
+            budget = both - 2 * np.ceil(t / (1 + t) * both - _EPS).astype(np.int64)
+            yield from self._down(u, v, budget, self.band[u], walk)
             lo = hi
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
+
+    def _down(self, u: np.ndarray, v: np.ndarray, budget: np.ndarray, band: np.ndarray, walk: int, level: int = 0) -> Iterator[np.ndarray]:
+        """Go down with pairs of nodes; `budget` is how many grams may still differ, less those that are known to."""
+        while len(u) and level < self.width:
+            self.visits += len(u)
+            nu, nv = self.children[level][u], self.children[level][v]
+            n = nu * nv
+            if len(u) > 1 and n.sum() > 2 * walk:
+                # in parts, so that what is held stays bounded
+                half = min(max(1, int(np.searchsorted(np.cumsum(n), n.sum() // 2))), len(u) - 1)
+                yield from self._down(u[:half], v[:half], budget[:half], band[:half], walk, level)
+                u, v, budget, band = u[half:], v[half:], budget[half:], band[half:]
+                continue
+            fu, fv = self.first[level], self.first[level]
+            if n.max() > 1:
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pair = np.repeat(np.arange(len(u)), n)
+                a, b = fu[u[pair]] + k // nv[pair], fv[v[pair]] + k % nv[pair]
+                keep = (u[pair] != v[pair]) | (a <= b)
+                a, b, pair = a[keep], b[keep], pair[keep]
+                budget, band = budget[pair], band[pair]
+            else:
+                a, b = fu[u], fv[v]
+            level += 1
+            label = self.label[level]
+            # pairs on one path differ in nothing so far
+            used = np.where(band < level - 1, np.bitwise_count(label[a] ^ label[b]), 0)
+            budget = budget - used
+            alive = np.flatnonzero(budget - self.depth[level][a] - self.depth[level][b] >= 0)
+            u, v, budget, band = a[alive], b[alive], budget[alive], band[alive]
+        if len(u):
+            yield self._leaves(u, v, budget)
+
+    def _leaves(self, u: np.ndarray, v: np.ndarray, budget: np.ndarray) -> np.ndarray:
+        """From pairs of leaves, each a group of sets with equal words, to pairs of sets."""
+        self.visits += len(u)
+        level = self.width
+        nu, nv = (self.end[level] - self.start[level])[u], (self.end[level] - self.start[level])[v]
+        n = nu * nv
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.repeat(np.arange(len(u)), n)
+        a, b = self.start[level][u[pair]] + k // nv[pair], self.start[level][v[pair]] + k % nv[pair]
+        own, block = self.at, self.block
+        keep = ((u[pair] != v[pair]) | (a < b)) & (budget[pair] >= self.pos[a] + self.pos[b])
+        pa_, pb = own[a], own[b]
+        # in a pair of cells only sets of different ones meet
+        keep &= (block.ci[pa_] == block.cj[pa_]) | (block.side[pa_] != block.side[pb])
+        x, y = block.uid[block.member[pa_[keep]]], block.uid[block.member[pb[keep]]]
+        found = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+        return found[found[:, 0] != found[:, 1]]
+
+
+def block_pairs(payloads: Iterator[bytes], threshold: float = THRESHOLD, walk: int = WALK) -> Iterator[np.ndarray]:
+    """Pairs of uids of a block's packed postings that may be similar, each once a part."""
+    block = Postings.unpack(payloads)
+    held: list[np.ndarray] = []
+    for width in block.words:
+        for found in Trees(block, width, threshold).pairs(walk):
+            held.append(found)
+            if sum(map(len, held)) > walk:
+                yield np.unique(np.concatenate(held), axis=0)
+                held = []
+    if held:
+        yield np.unique(np.concatenate(held), axis=0)
+
+
+def _walk(threshold: float, walk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        payloads = [p for b in batches for p in b.column(1).to_pylist()]
+        if not payloads:
+            return
+        for pairs in block_pairs(iter(payloads), threshold, walk):
             for k in range(0, len(pairs), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[k : k + 200_000, i])) for i in (0, 1)], names=["ua", "ub"])
 
@@ -291,64 +501,105 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def text_members(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """(id, norm, n1, n2, c1, c2): normalised text, its 128-bit hash and that of the canonical form, of each text that has a word."""
-    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("raw")), "id", least=1.0)
-    both = composed(rows.withColumn("nfc", F.col("raw")), "nfc")
-    c = canonical_text(F.col("nfc"))
-    out = both.select("id", normalised(F.col("raw")).alias("norm"), c.alias("c")).filter("id is not null and c != '' and norm != ''").dropDuplicates(["id"])
-    return out.select("id", "norm", *[F.xxhash64(*([F.lit("second")] * k), x).alias(f"{p}{k + 1}") for p, x in (("n", "norm"), ("c", "c")) for k in (0, 1)])
+def _rows(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("raw")).filter("id is not null and raw is not null")
+
 
+def text_members(rows: DataFrame) -> DataFrame:
+    """(id, norm, n1, n2): normalised text and its 128-bit hash, of each (id, raw) with a word."""
+    out = rows.select("id", normalised(F.col("raw")).alias("norm")).filter("norm != ''")
+    return out.select("id", "norm", F.xxhash64("norm").alias("n1"), F.xxhash64(F.lit("second"), "norm").alias("n2"))
 
-def similar_units(units: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, table_bits: int = TABLE_BITS, cell: int = CELL) -> DataFrame:
+
+def similar_units(units: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, table_bits: int = TABLE_BITS, cell: int = CELL, hot_sent: int = HOT_SENT) -> DataFrame:
     """(ua, ub, similarity), ua < ub: all pairs of (uid, norm) whose gram sets have a Jaccard similarity of at least `threshold`."""
     spark = units.sparkSession
-    freq = _frequencies(units, table_bits, n)
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(freq.sum() * (1 - threshold) / BLOCK_POSTINGS) + 1)
-    table = spark.sparkContext.broadcast(freq)
-    postings = units.select("uid", "norm").mapInArrow(_postings(table, table_bits, n, threshold, cell, blocks), "block bigint, payload binary")
-    pairs = postings.repartitionById(blocks, F.col("block").cast("int")).mapInArrow(_walk(threshold, WALK), "ua bigint, ub bigint")
+    freq, sets = _frequencies(units, table_bits, n)
+    order = spark.sparkContext.broadcast(Order.of(freq))
+    keys, counts, passes, extra = np.empty(0, np.uint64), np.empty(0, np.int64), 1, 0
+    if (freq > cell).any():
+        hot = _hot_grams(units, order, freq, n, threshold, cell)
+        many, extra = hot.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * (F.ceil(F.col("n") / cell) - 1)), F.lit(0))).first()
+        passes = max(1, -(-many // hot_sent))
+    # replicas of hot postings count too
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((freq.sum() * (1 - threshold) + sets + extra) / passes / BLOCK_POSTINGS) + 1)
+    pairs = None
+    for turn in range(passes):
+        if (freq > cell).any():
+            of = (F.shiftrightunsigned("mixed", 9) % passes == turn) if passes > 1 else F.lit(True)
+            got = hot.mapInArrow(_with_mix, "gram bigint, n bigint, mixed bigint").filter(of).toArrow()  # about hot_sent rows
+            by = np.argsort(got["gram"].to_numpy().view(np.uint64))
+            keys, counts = got["gram"].to_numpy().view(np.uint64)[by], got["n"].to_numpy()[by]
+        sent = spark.sparkContext.broadcast((keys, counts))
+        postings = units.select("uid", "norm").mapInArrow(_postings(order, sent, n, threshold, cell, blocks, passes, turn), "block bigint, payload binary")
+        one = postings.repartitionById(blocks, F.col("block").cast("int")).mapInArrow(_walk(threshold, WALK), "ua bigint, ub bigint")
+        pairs = one if pairs is None else pairs.unionByName(one)
     pairs = cut(pairs.distinct(), "pairs")
     text = lambda u, t: units.select(F.col("uid").alias(u), F.col("norm").alias(t))
     full = pairs.join(text("ub", "tb"), "ub").join(text("ua", "ta"), "ua").select("ua", "ub", "ta", "tb")
     return full.mapInArrow(_verify(n, threshold), "ua bigint, ub bigint, similarity double")
 
 
+def _with_mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        mixed = _mixed(b.column(0).to_numpy().view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mixed)], names=["gram", "n", "mixed"])
+
+
 class NearDuplicates:
-    """Exact near-duplicate search over the texts of a table; nothing runs before a result is asked for.
+    """Exact near-duplicate search over the texts of a table.
 
     `df` needs an id and a text. Rows with a null id or a text without any word or number take no part, texts shorter than
-    the gram have no grams and are similar to nothing. Rows that repeat an id count once. Texts of any length are used
+    the gram have no grams and are similar to nothing. Rows that repeat id and text count once; an id with several texts
+    has the links of all of them. Texts of any length are used
     whole. Copies are merged before the join and expanded after it. An empty table gives empty results.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "id", text: str = "text", n: int = GRAM, threshold: float = THRESHOLD, table_bits: int = TABLE_BITS, cell: int = CELL, chunk: int = CHUNK):
+    def __init__(self, df: DataFrame, id_col: str = "id", text: str = "text", n: int = GRAM, threshold: float = THRESHOLD, table_bits: int = TABLE_BITS, cell: int = CELL, chunk: int = CHUNK, hot_sent: int = HOT_SENT):
         self.chunk = chunk
-        keyed = cut(text_members(df, id_col, text), "texts")
-        counts = cut(keyed.groupBy("n1", "n2").agg(F.min("id").alias("uid"), F.count("*").alias("n")), "units")
-        texts = keyed.select(F.col("id").alias("uid"), "norm").join(counts.select("uid"), "uid")
-        self.units = cut(spread(texts.filter(F.length("norm") >= n), "uid"), "unit_texts")
-        self.members = cut(salted_join(keyed.drop("norm"), counts.drop("n"), ["n1", "n2"], counts.drop("uid"), F.col("id"), chunk=chunk).select("uid", "id", "c1", "c2"), "members")
+        self.rows = _rows(df, id_col, text)
+        keyed = cut(text_members(spread(self.rows, "id", least=1.0)), "texts")
+        # one text an id, chosen by its hash
+        ids = keyed.groupBy("id").agg(F.min(F.struct("n1", "n2")).alias("k")).select("id", "k.n1", "k.n2")
+        counts = cut(ids.groupBy("n1", "n2").agg(F.min("id").alias("uid"), F.count("*").alias("n")), "units")
+        first = counts.select(F.col("uid").alias("id"), F.col("n1").alias("u1"), F.col("n2").alias("u2"))
+        texts = keyed.filter(F.length("norm") >= n).join(first, "id").filter("n1 = u1 and n2 = u2")
+        self.units = cut(texts.select(F.col("id").alias("uid"), "norm").dropDuplicates(["uid"]), "unit_texts")
+        self.members = cut(salted_join(ids, counts.drop("n"), ["n1", "n2"], counts.drop("uid"), F.col("id"), chunk=chunk).select("uid", "id", "n1"), "members")
         self.sizes = counts.select("uid", "n")
-        self.pairs = cut(similar_units(self.units, n, threshold, table_bits, cell), "similar")
+        self.pairs = cut(similar_units(spread(self.units, "uid"), n, threshold, table_bits, cell, hot_sent), "similar")
+
+    def _forms(self) -> DataFrame:
+        """(uid, id, c1, c2): the records that may be in a pair, with the hash of the canonical form of their text.
+
+        Only units that are similar to another or hold several records can give pairs, so only their texts are read again.
+        """
+        paired = self.pairs.select(F.explode(F.array("ua", "ub")).alias("uid"))
+        needed = paired.unionByName(self.sizes.filter("n > 1").join(self.units.select("uid"), "uid").select("uid")).distinct()
+        members = salted_join(self.members, needed, ["uid"], self.sizes, F.col("id"), chunk=self.chunk)
+        own = self.rows.join(members, "id").filter(F.xxhash64(normalised(F.col("raw"))) == F.col("n1"))
+        made = composed(own.select("uid", "id", F.col("raw").alias("nfc")), "nfc")
+        c = canonical_text(F.col("nfc"))
+        return made.select("uid", "id", F.xxhash64(c).alias("c1"), F.xxhash64(F.lit("second"), c).alias("c2")).dropDuplicates(["id"])
 
     def record_pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: all pairs of records that are similar but not the same words and numbers."""
-        a = self.members.select(F.col("uid").alias("ua"), F.col("id").alias("i"), F.col("c1").alias("a1"), F.col("c2").alias("a2"))
-        b = self.members.select(F.col("uid").alias("ub"), F.col("id").alias("j"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
+        members = cut(self._forms(), "forms")
+        a = members.select(F.col("uid").alias("ua"), F.col("id").alias("i"), F.col("c1").alias("a1"), F.col("c2").alias("a2"))
+        b = members.select(F.col("uid").alias("ub"), F.col("id").alias("j"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
         of = lambda u: self.sizes.select(F.col("uid").alias(u), "n")
         half = salted_join(a, self.pairs.select("ua", "ub"), ["ua"], of("ua"), F.col("i"), chunk=self.chunk)
         full = salted_join(b, half, ["ub"], of("ub"), F.col("j"), chunk=self.chunk).select("i", "j", "a1", "a2", "b1", "b2")
         # equal normalised texts may still be different words and numbers (signs, decimal points)
         key = ["uid", "c1", "c2"]
-        forms = self.members.groupBy(*key).agg(F.count("*").alias("n"))
+        forms = members.groupBy(*key).agg(F.count("*").alias("n"))
         mixed = forms.groupBy("uid").agg(F.count("*").alias("forms")).filter("forms > 1").select("uid")
-        forms = cut(forms.join(mixed.join(self.units.select("uid"), "uid"), "uid"), "forms")
+        forms = cut(forms.join(mixed, "uid"), "mixed")
         other = forms.select("uid", F.col("c1").alias("d1"), F.col("c2").alias("d2"))
         both = forms.drop("n").join(other, "uid").filter("c1 < d1 or c1 = d1 and c2 < d2")
-        i = salted_join(self.members.select(*key, F.col("id").alias("i")), both, key, forms, F.col("i"), chunk=self.chunk)
+        i = salted_join(members.select(*key, F.col("id").alias("i")), both, key, forms, F.col("i"), chunk=self.chunk)
         i = i.select("uid", "i", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
-        within = salted_join(self.members.select(*key, F.col("id").alias("j")), i, key, forms, F.col("j"), chunk=self.chunk)
+        within = salted_join(members.select(*key, F.col("id").alias("j")), i, key, forms, F.col("j"), chunk=self.chunk)
         within = within.select("i", "j", "a1", "a2", F.col("c1").alias("b1"), F.col("c2").alias("b2"))
         return full.unionByName(within).filter("a1 != b1 or a2 != b2").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
 

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from millrace.llm.neardup import NearDuplicates, gram_hashes, parity_sketch, sketch_words
+from millrace.llm.neardup import NearDuplicates, Order, Postings, Trees, _postings, folded, gram_sets, parity_words, sketch_words
 
 SCHEMA = "id bigint, text string"
 
@@ -64,14 +64,92 @@ def test_groups(spark):
     assert NearDuplicates(spark.createDataFrame([], SCHEMA)).groups().count() == 0
 
 
-def test_sketch_never_differs_by_more_than_the_sets():
-    rng = np.random.default_rng(1)
-    for n in (10, 300, 2000):
-        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-        b = np.unique(np.r_[a[n // 10 :], rng.integers(0, 1 << 63, n // 10).astype(np.uint64)])
-        w = min(sketch_words(len(a)), sketch_words(len(b)))
-        differ = np.bitwise_count(parity_sketch(a, w) ^ parity_sketch(b, w)).sum()
-        assert differ <= len(np.setxor1d(a, b))
-    wide = parity_sketch(a, 16)
-    assert (parity_sketch(a, 8) == wide[:8] ^ wide[8:]).all()
-    assert len(gram_hashes("abcd")) == 0 and len(gram_hashes("abcde")) == 1
+def sets_of(texts, bits=8):
+    h, _ = gram_sets(texts)
+    order = Order.of(np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits))
+    return order, *gram_sets(texts, order=order)
+
+
+def test_words_never_differ_by_more_than_the_sets():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc ") for _ in range(n)) for n in (40, 900, 900, 6000)]
+    texts += [t[: len(t) // 2] + "zz" + t[len(t) // 2 :] for t in texts]
+    order, keys, sizes = sets_of(texts)
+    words = sketch_words(sizes)
+    flat = parity_words(keys, sizes, words, order.slots(keys))
+    at, first = np.cumsum(sizes) - sizes, np.cumsum(words) - words
+    for a in range(4):
+        w = min(words[a], words[a + 4])
+        x, y = (folded(flat[first[i] : first[i] + words[i]][None], w)[0] for i in (a, a + 4))
+        differ = np.setxor1d(keys[at[a] : at[a] + sizes[a]], keys[at[a + 4] : at[a + 4] + sizes[a + 4]])
+        slot = order.slots(differ).astype(int)
+        for k in range(w):
+            assert np.bitwise_count(x[k] ^ y[k]) <= ((slot != 255) & (slot * w // 64 == k)).sum()
+
+
+def test_keys_are_one_to_one_and_sets_are_distinct():
+    assert [len(gram_sets([t])[0]) for t in ("", "abcd", "abcde", "aaaaaaaa", "abcdeabcde")] == [0, 0, 1, 1, 5]
+    texts = ["", "abcde", "x", "abcdefg", "zzzzzzzzz"]
+    h, sizes = gram_sets(texts)
+    assert sizes.tolist() == [0, 1, 0, 3, 1]
+    order, keys, _ = sets_of(texts)
+    assert len(np.unique(keys)) == len(np.unique(h))
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def trees_of(texts):
+    """The trees of all grams, in one block."""
+    import pyarrow as pa
+
+    order, _, _ = sets_of(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["uid", "norm"])
+    none = Sent((np.empty(0, np.uint64), np.empty(0, np.int64)))
+    out = _postings(Sent(order), none, 5, 0.8, 20_000, 1, 1, 0)(iter([batch]))
+    block = Postings.unpack(iter([p for b in out for p in b.column(1).to_pylist()]))
+    return block, [Trees(block, w, 0.8) for w in block.words]
+
+
+def test_pairs_below_a_node_share_its_overlap():
+    """Sets with one path are visited as one node, not pair by pair."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(260)) for _ in range(2)]
+    # copies that differ in one rare gram at the end only, so their paths agree
+    texts = [b + f" {i:05d}" for b in base for i in range(40)]
+    block, trees = trees_of(texts)
+    found = {tuple(p) for t in trees for part in t.pairs() for p in part.tolist()}
+    want = {(a, b) for k in (0, 40) for a in range(k, k + 40) for b in range(a + 1, k + 40)}
+    assert want <= found
+    per_gram = np.unique(block.gram, return_counts=True)[1]
+    every_pair = int((per_gram * (per_gram - 1) // 2).sum()) * trees[0].width
+    assert 0 < sum(t.visits for t in trees) < every_pair / 4
+
+
+def test_a_subtree_without_enough_left_is_not_entered():
+    """One shared rare gram at the end of both prefixes leaves nothing to differ."""
+    texts = ["".join(chr(0x4E00 + 400 * k + i) for i in range(200)) + "abcde" for k in range(20)]
+    _, trees = trees_of(texts)
+    assert sum(len(part) for t in trees for part in t.pairs()) == 0
+    # the tree of the shared gram has 190 pairs; all are left above the words
+    assert sum(t.visits for t in trees) <= 20 * 200 * 2 * trees[0].width
+
+
+@pytest.mark.parametrize("hot_sent", [500_000, 3])
+def test_hot_grams_are_counted_exactly_and_taken_in_passes(spark, hot_sent):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12)]
+    base = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(50)]
+    rows = list(enumerate(base + [edited(rng, words, t) for t in base]))
+    near = NearDuplicates(spark.createDataFrame(rows, SCHEMA), cell=4, hot_sent=hot_sent, table_bits=6)
+    got = [tuple(r) for r in near.record_pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and got
+
+
+def test_repeated_ids_long_texts_and_other_columns(spark):
+    long = " ".join(str(i * 7919) for i in range(20_000))
+    rows = [(1, long, 5), (2, long + " tail", 5), (2, long + " tail", 5), (None, long, 5), (3, None, 5)]
+    df = spark.createDataFrame(rows, "id bigint, text string, uid int").selectExpr("*", "'x' as norm", "1 as n1", "'y' as raw")
+    assert [tuple(r) for r in NearDuplicates(df).record_pairs().collect()] == [(1, 2)]
