@@ -6,7 +6,7 @@ gram the levels are: the size of the set, then its further grams in global order
 is the parity word of the set's grams in that band, and sets whose words agree so far share the path. A traversal takes the tree against
 itself: a pair of nodes carries one partial overlap (as grams that are known to differ) for all pairs of sets below. It starts
 from the depth at which the shared gram stands, since all grams before it differ, and adds the bits in which the words
-differ, at most as many as the grams do. A pair of subtrees is left as soon as what remains of the sets can't make up for it. So no pair
+of later bands differ, at most as many as the grams do. A pair of subtrees is left as soon as what remains of the sets can't make up for it. So no pair
 is lost, and what comes out is verified on the grams themselves.
 """
 
@@ -35,10 +35,10 @@ CELL = 20_000
 #: Hot grams that are sent to all tasks at once; if there are more, the grams are taken in as many passes as needed.
 HOT_SENT = 500_000
 #: Postings of one block, and pairs of nodes held at once.
-BLOCK_POSTINGS, WALK = 500_000, 1_000_000
-SLOTS = 64  # finest bands, and most words of a set
-NO_SLOT = 255  # the rarest grams, which make the prefixes, are in no band
-RAREST = 0.2
+BLOCK_POSTINGS, WALK = 1_000_000, 1_000_000
+SLOTS = 64  # finest bands, and most of them
+RARE, RAREST = 255, 0.2  # the rarest grams, which make most prefixes, are a band of their own
+GRAM_BITS = 0.48  # least bits of the words for each gram
 TEXTS = 2_000  # texts whose grams are made at once
 _EPS = 1e-9
 
@@ -62,8 +62,8 @@ class Order:
         rank = np.empty(len(freq), np.uint32)
         rank[by] = np.arange(len(freq), dtype=np.uint32)
         share = (np.cumsum(freq[by]) - freq[by] / 2) / max(1, freq.sum())
-        band = np.clip((share - RAREST) / (1 - RAREST) * SLOTS, 0, SLOTS - 1).astype(np.uint8)
-        return Order(len(freq).bit_length() - 1, rank, np.where(share < RAREST, np.uint8(NO_SLOT), band).astype(np.uint8))
+        slot = np.clip((share - RAREST) / (1 - RAREST) * SLOTS, 0, SLOTS - 1)
+        return Order(len(freq).bit_length() - 1, rank, np.where(share < RAREST, RARE, slot).astype(np.uint8))
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """Hashes re-coded one to one, so that they sort in the global order."""
@@ -104,26 +104,30 @@ def gram_sets(texts: list[str], n: int = GRAM, order: Order | None = None) -> tu
     return h[new], np.bincount(whose[new], minlength=len(texts))
 
 
-def sketch_words(size: np.ndarray) -> np.ndarray:
-    """Words of a set: a power of two with about half a bit a gram, so that unrelated sets of that size differ in more bits than allowed."""
-    need = np.maximum(0.48 * np.asarray(size, float) / 64, 1.0)
+def level_of(slots: np.ndarray, bands: np.ndarray | int) -> np.ndarray:
+    """0 for the rarest grams, then one for each of `bands` bands of the order."""
+    return np.where(slots == RARE, 0, 1 + slots.astype(np.int64) * bands // SLOTS)
+
+
+def bands_of(size: np.ndarray) -> np.ndarray:
+    """Bands of a set beside that of the rarest grams: a power of two with about half a bit a gram, so that unrelated sets of that size differ in more bits than allowed."""
+    need = np.maximum(GRAM_BITS * np.asarray(size, float) / 64, 1.0)
     return np.clip(1 << np.ceil(np.log2(need) - _EPS).astype(np.int64), 2, SLOTS)
 
 
-def parity_words(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """The words of all sets, one set after another. Bit i of a word is the parity of the grams of its band that hash to i, so the XOR of two is that of the grams in which they differ."""
+def parity_words(keys: np.ndarray, sizes: np.ndarray, bands: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The words, one a band, of all sets, one set after another. Bit i of a word is the parity of the grams of its band that hash to i, so the XOR of two is that of the grams in which they differ."""
+    words = bands + 1
     first = np.cumsum(words) - words
-    banded = slots != NO_SLOT
-    whose = np.repeat(np.arange(len(sizes)), sizes)[banded]
-    word = first[whose] + (slots[banded].astype(np.int64) * words[whose]) // SLOTS
-    bit = word * 64 + (keys[banded] & np.uint64(63)).astype(np.int64)
+    word = np.repeat(first, sizes) + level_of(slots, np.repeat(bands, sizes))
+    bit = word * 64 + (keys & np.uint64(63)).astype(np.int64)
     return np.packbits((np.bincount(bit, minlength=64 * int(words.sum())) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def folded(words: np.ndarray, to: int) -> np.ndarray:
-    """Rows of words as rows of `to` wider bands."""
-    n, w = words.shape
-    return np.bitwise_xor.reduce(words.reshape(n, to, w // to), axis=2)
+    """Rows of words as rows of fewer, wider bands."""
+    n, bands = len(words), words.shape[1] - 1
+    return np.c_[words[:, :1], np.bitwise_xor.reduce(words[:, 1:].reshape(n, to, bands // to), axis=2)]
 
 
 def prefix_sizes(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -196,7 +200,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(20)
 
 
-_COLUMNS = (np.uint32, np.uint8, np.uint32, np.uint32)  # gram, its slot, position, set
+_COLUMNS = (np.uint32, np.uint16, np.uint16)  # gram, position, set
+_LONG = (np.uint32, np.uint32, np.uint16)  # the same for texts whose positions need more
 _CELLS = (np.uint32, np.uint32, np.uint8)  # cells and side
 
 
@@ -215,8 +220,8 @@ def _postings(sent, hot, n: int, threshold: float, cell: int, blocks: int, passe
             for lo, texts in _slices(b.column(1).to_pylist()):
                 keys, sizes = gram_sets(texts, n, order)
                 slots = order.slots(keys)
-                words = sketch_words(sizes)
-                sketch = parity_words(keys, sizes, words, slots)
+                bands = bands_of(sizes)
+                sketch = parity_words(keys, sizes, bands, slots)
                 at = np.flatnonzero(_in_prefix(sizes, threshold))
                 if passes > 1:
                     at = at[(_mixed(keys[at]) >> np.uint64(9)) % np.uint64(passes) == turn]
@@ -224,29 +229,29 @@ def _postings(sent, hot, n: int, threshold: float, cell: int, blocks: int, passe
                     continue
                 owner = np.repeat(np.arange(len(sizes)), sizes)[at]
                 pos = at - (np.cumsum(sizes) - sizes)[owner]
-                posts = _celled(keys[at], slots[at], pos, owner, ids[lo : lo + len(texts)], hot_keys, hot_n, cell)
-                yield _packed(posts, ids[lo : lo + len(texts)], sizes, words, sketch, blocks)
+                posts = _celled(keys[at], pos, owner, ids[lo : lo + len(texts)], hot_keys, hot_n, cell)
+                yield _packed(posts, ids[lo : lo + len(texts)], sizes, bands + 1, sketch, blocks)
 
     return run
 
 
-def _celled(keys, slots, pos, owner, uid, hot_keys, hot_n, cell) -> list[np.ndarray]:
-    """Postings as key, slot, position, set, cells i <= j, side; a posting of a hot gram once for each cell its own one meets."""
+def _celled(keys, pos, owner, uid, hot_keys, hot_n, cell) -> list[np.ndarray]:
+    """Postings as key, position, set, cells i <= j, side; a posting of a hot gram once for each cell its own one meets."""
     zero = np.zeros(len(keys), np.int64)
     cells = np.ones(len(keys), np.int64)
     if len(hot_keys):
         at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
         cells = np.where(hot_keys[at] == keys, -(-hot_n[at] // cell), 1)
     if (cells == 1).all():
-        return [keys, slots, pos, owner, zero, zero, zero]
+        return [keys, pos, owner, zero, zero, zero]
     every = np.repeat(np.arange(len(keys)), cells)
     other = np.arange(len(every)) - np.repeat(np.cumsum(cells) - cells, cells)
     own = (_mixed(uid.astype(np.uint64))[owner[every]] % cells[every].astype(np.uint64)).astype(np.int64)
-    return [keys[every], slots[every], pos[every], owner[every], np.minimum(own, other), np.maximum(own, other), (other < own).astype(np.int64)]
+    return [keys[every], pos[every], owner[every], np.minimum(own, other), np.maximum(own, other), (other < own).astype(np.int64)]
 
 
 def _packed(posts: list[np.ndarray], uid: np.ndarray, sizes: np.ndarray, words: np.ndarray, sketch: np.ndarray, blocks: int) -> pa.RecordBatch:
-    keys, ci, cj = posts[0], posts[4].astype(np.uint64), posts[5].astype(np.uint64)
+    keys, ci, cj = posts[0], posts[3].astype(np.uint64), posts[4].astype(np.uint64)
     block = (_mixed(keys ^ (ci * np.uint64(0x9E3779B97F4A7C15)) ^ (cj * np.uint64(0xD1B54A32D192ED03))) % np.uint64(blocks)).astype(np.int64)
     by = np.argsort(block, kind="stable")
     posts, block = [c[by] for c in posts], block[by]
@@ -259,16 +264,16 @@ def _packed(posts: list[np.ndarray], uid: np.ndarray, sizes: np.ndarray, words:
     for lo, hi in zip(edges[:-1], edges[1:]):
         part = [c[lo:hi] for c in posts]
         there = np.zeros(len(uid), bool)
-        there[part[3]] = True
+        there[part[2]] = True
         own = np.flatnonzero(there)
         local[own] = np.arange(len(own))
-        part[3] = local[part[3]]
-        celled = bool(part[5].any())
+        part[2] = local[part[2]]
+        celled, long = bool(part[4].any()), bool(part[1].max() >= 1 << 16)
         w = words[own]
         own_words = sketch[np.repeat(first[own] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
-        head = np.array([hi - lo, len(own), len(own_words), celled], np.int64)
-        arrays = [x.astype(t) for x, t in zip(part, _COLUMNS)] + [uid[own], sizes[own].astype(np.int32), own_words]
-        arrays += [x.astype(t) for x, t in zip(part[4:], _CELLS)] if celled else []
+        head = np.array([hi - lo, len(own), len(own_words), celled, long], np.int64)
+        arrays = [x.astype(t) for x, t in zip(part, _LONG if long else _COLUMNS)] + [uid[own], sizes[own].astype(np.int32), own_words]
+        arrays += [x.astype(t) for x, t in zip(part[3:], _CELLS)] if celled else []
         payloads.append(head.tobytes() + b"".join(x.tobytes() for x in arrays))
     return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(payloads, pa.binary())], names=["block", "payload"])
 
@@ -278,7 +283,6 @@ class Postings:
     """The postings of a block, and the sets they name: uid, size, and words by number of words."""
 
     gram: np.ndarray
-    slot: np.ndarray
     pos: np.ndarray
     member: np.ndarray
     ci: np.ndarray
@@ -286,76 +290,85 @@ class Postings:
     side: np.ndarray
     uid: np.ndarray
     size: np.ndarray
-    words: dict[int, tuple[np.ndarray, np.ndarray]]  # number of words: (row of each set or -1, rows of words)
+    words: dict[int, tuple[np.ndarray, np.ndarray]]  # number of bands: (row of each set or -1, rows of words)
 
     @staticmethod
     def unpack(payloads: Iterator[bytes]) -> Postings:
-        kinds = [*_COLUMNS, np.int64, np.int32, np.uint64, *_CELLS]
-        parts: list[list[np.ndarray]] = [[] for _ in kinds]
+        parts: list[list[np.ndarray]] = [[] for _ in range(9)]
         before = 0
         for data in payloads:
-            posts, sets, n_words, celled = np.frombuffer(data, np.int64, 4)
-            at = 32
-            for k, (kind, count) in enumerate(zip(kinds, [posts] * 4 + [sets, sets, n_words] + [posts] * 3)):
-                if k > 6 and not celled:
+            posts, sets, n_words, celled, long = np.frombuffer(data, np.int64, 5)
+            kinds = [*(_LONG if long else _COLUMNS), np.int64, np.int32, np.uint64, *_CELLS]
+            at = 40
+            for k, (kind, count) in enumerate(zip(kinds, [posts] * 3 + [sets, sets, n_words] + [posts] * 3)):
+                if k > 5 and not celled:
                     x = np.zeros(posts, kind)
                 else:
                     x = np.frombuffer(data, kind, count, at)
                     at += x.nbytes
-                parts[k].append(x + np.uint32(before) if k == 3 else x)
+                parts[k].append(x.astype(np.int64) + before if k == 2 else x)
             before += int(sets)
-        gram, slot, pos, member, uid, size, words, ci, cj, side = (np.concatenate(x) for x in parts)
+        gram, pos, member, uid, size, words, ci, cj, side = (np.concatenate(x) for x in parts)
         size = size.astype(np.int64)
         # a set comes once for each packed row: the same set from two rows is no other set, but has the same uid
-        wide = sketch_words(size)
-        first = np.cumsum(wide) - wide
+        wide = bands_of(size)
+        first = np.cumsum(wide + 1) - wide - 1
         tables = {}
         for w in np.unique(wide):
             own = np.flatnonzero(wide == w)
             row = np.full(len(size), -1)
             row[own] = np.arange(len(own))
-            tables[int(w)] = row, words[first[own][:, None] + np.arange(w)]
-        return Postings(gram, slot, pos.astype(np.int64), member.astype(np.int64), ci, cj, side, uid, size, tables)
+            tables[int(w)] = row, words[first[own][:, None] + np.arange(w + 1)]
+        return Postings(gram, pos.astype(np.int64), member, ci, cj, side, uid, size, tables)
 
 
 class Trees:
-    """The prefix trees of a block's grams, for the sets of one number of words and the larger ones that may be similar to them.
+    """The prefix trees of a block's grams, for the sets of one number of bands and the larger ones that may be similar to them.
 
     Nodes are kept by level: under each gram the sizes, then a word a level. A node is a run of postings in sorted order
     and of its children on the next level.
     """
 
-    def __init__(self, block: Postings, width: int, threshold: float):
-        self.block, self.width, self.threshold = block, width, threshold
-        wide = sketch_words(block.size)
-        self.most = int(width * 64 / 0.48 + 1) if width < SLOTS else int(block.size.max(initial=1))  # the largest size with so many words
-        while width < SLOTS and sketch_words(np.array([self.most]))[0] > width:
-            self.most -= 1
-        joins = (wide == width) | ((wide > width) & (threshold * block.size <= self.most + _EPS))
+    def __init__(self, block: Postings, bands: int, threshold: float, order: Order):
+        self.block, self.width, self.threshold = block, bands + 1, threshold
+        wide = bands_of(block.size)
+        # the largest size with so many bands
+        self.most = int(bands * 64 / GRAM_BITS + _EPS) if bands < SLOTS else int(block.size.max(initial=1))
+        joins = (wide == bands) | ((wide > bands) & (threshold * block.size <= self.most + _EPS))
         row = np.full(len(block.size), -1)
         tables, n = [], 0
         for w, (rows, words) in block.words.items():
             own = np.flatnonzero(joins & (rows >= 0))
             if len(own):
                 row[own] = n + np.arange(len(own))
-                tables.append(folded(words[rows[own]], width))
+                tables.append(folded(words[rows[own]], bands))
                 n += len(own)
-        self.sets = np.concatenate(tables) if tables else np.zeros((0, width), np.uint64)
+        self.sets = np.concatenate(tables) if tables else np.zeros((0, bands + 1), np.uint64)
         # rank of the word path of each set, so that one sort of whole numbers orders the postings
         path = np.lexsort(self.sets.T[::-1])
         of = np.empty(len(path), np.int64)
         of[path] = np.arange(len(path))
-        at = np.flatnonzero(row[block.member] >= 0)
-        code, branch = np.unique((block.gram[at].astype(np.uint64) << np.uint64(32)) | (_mixed(block.ci[at].astype(np.uint64) << np.uint64(20) | block.cj[at].astype(np.uint64)) & np.uint64(0xFFFFFFFF)), return_inverse=True)
-        size, rank = block.size[block.member[at]], of[row[block.member[at]]]
-        by = np.lexsort((rank, branch * (int(size.max(initial=0)) + 1) + size))
-        at, branch, size = at[by], branch[by], size[by]
-        self.at, self.row = at, row[block.member[at]]
+        of_member = row[block.member]
+        at = np.flatnonzero(of_member >= 0)
+        gram, size, rank = block.gram[at], block.size[block.member[at]], of[of_member[at]]
+        celled = bool(block.cj.any())
+        size_bits, rank_bits = int(size.max(initial=1)).bit_length(), max(1, len(of)).bit_length()
+        if not celled and size_bits + rank_bits <= 32:
+            by = np.argsort(gram.astype(np.uint64) << np.uint64(32) | (size << rank_bits | rank).astype(np.uint64), kind="stable")
+        else:
+            by = np.lexsort((rank, size, block.cj[at], block.ci[at], gram))
+        at, size, gram = at[by], size[by], gram[by]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = gram[1:] != gram[:-1]
+        if celled:
+            fresh[1:] |= (block.ci[at[1:]] != block.ci[at[:-1]]) | (block.cj[at[1:]] != block.cj[at[:-1]])
+        branch = np.cumsum(fresh) - 1
+        self.at, self.row = at, of_member[at]
         new = np.ones(len(at), bool)
         new[1:] = (branch[1:] != branch[:-1]) | (size[1:] != size[:-1])
         self.start: list[np.ndarray] = []  # of each level's nodes in the postings
         self.label: list[np.ndarray] = []
-        for level in range(width + 1):
+        for level in range(self.width + 1):
             if level:
                 words = self.sets[self.row, level - 1]
                 new = new.copy()
@@ -370,9 +383,8 @@ class Trees:
         self.children = [np.searchsorted(below, e) - f for e, below, f in zip(self.end, self.start[1:], self.first)]
         top = self.start[0]
         self.branch, self.size = branch[top], size[top]
-        # grams of the bands up to that of the shared gram may be among those before it, which count already
-        slot = block.slot[at[top]]
-        self.band = np.where(slot == NO_SLOT, -1, slot.astype(np.int64) * width // SLOTS)
+        # the band of the shared gram: grams of the bands up to it may be among those before it
+        self.band = level_of(order.slots(gram[top].astype(np.uint64) << np.uint64(32)), bands)
         self.visits = 0
 
     def pairs(self, walk: int = WALK) -> Iterator[np.ndarray]:
@@ -399,42 +411,43 @@ class Trees:
             u, v = u[ok], v[ok]
             both = size[u] + size[v]
             budget = both - 2 * np.ceil(t / (1 + t) * both - _EPS).astype(np.int64)
-            yield from self._down(u, v, budget, self.band[u], walk)
+            # what may differ beside the grams before the shared one, and what may differ in all
+            yield from self._down(u, v, budget, budget, self.band[u], walk)
             lo = hi
 
-    def _down(self, u: np.ndarray, v: np.ndarray, budget: np.ndarray, band: np.ndarray, walk: int, level: int = 0) -> Iterator[np.ndarray]:
-        """Go down with pairs of nodes; `budget` is how many grams may still differ, less those that are known to."""
+    def _down(self, u: np.ndarray, v: np.ndarray, behind: np.ndarray, whole: np.ndarray, band: np.ndarray, walk: int, level: int = 0) -> Iterator[np.ndarray]:
+        """Go down with pairs of nodes. All grams before the shared one differ, and are not to be counted twice: `behind` is how many grams may
+        still differ, less what differs in the bands behind that of the shared gram, `whole` less what differs in all bands."""
         while len(u) and level < self.width:
             self.visits += len(u)
             nu, nv = self.children[level][u], self.children[level][v]
             n = nu * nv
-            if len(u) > 1 and n.sum() > 2 * walk:
+            total = int(n.sum())
+            if len(u) > 1 and total > 2 * walk:
                 # in parts, so that what is held stays bounded
-                half = min(max(1, int(np.searchsorted(np.cumsum(n), n.sum() // 2))), len(u) - 1)
-                yield from self._down(u[:half], v[:half], budget[:half], band[:half], walk, level)
-                u, v, budget, band = u[half:], v[half:], budget[half:], band[half:]
+                half = min(max(1, int(np.searchsorted(np.cumsum(n), total // 2))), len(u) - 1)
+                yield from self._down(u[:half], v[:half], behind[:half], whole[:half], band[:half], walk, level)
+                u, v, behind, whole, band = u[half:], v[half:], behind[half:], whole[half:], band[half:]
                 continue
-            fu, fv = self.first[level], self.first[level]
-            if n.max() > 1:
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            a, b = self.first[level][u], self.first[level][v]
+            if total > len(u):
+                k = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
                 pair = np.repeat(np.arange(len(u)), n)
-                a, b = fu[u[pair]] + k // nv[pair], fv[v[pair]] + k % nv[pair]
-                keep = (u[pair] != v[pair]) | (a <= b)
+                a, b = a[pair] + k // nv[pair], b[pair] + k % nv[pair]
+                keep = np.flatnonzero((u != v)[pair] | (a <= b))
                 a, b, pair = a[keep], b[keep], pair[keep]
-                budget, band = budget[pair], band[pair]
-            else:
-                a, b = fu[u], fv[v]
+                behind, whole, band = behind[pair], whole[pair], band[pair]
+            label, depth = self.label[level + 1], self.depth[level + 1]
+            differ = np.bitwise_count(label[a] ^ label[b]).astype(np.int64)
+            whole = whole - differ
+            behind = behind - np.where(band < level, differ, 0)
+            alive = np.flatnonzero((whole >= 0) & (behind >= depth[a] + depth[b]))
+            u, v, behind, whole, band = a[alive], b[alive], behind[alive], whole[alive], band[alive]
             level += 1
-            label = self.label[level]
-            # pairs on one path differ in nothing so far
-            used = np.where(band < level - 1, np.bitwise_count(label[a] ^ label[b]), 0)
-            budget = budget - used
-            alive = np.flatnonzero(budget - self.depth[level][a] - self.depth[level][b] >= 0)
-            u, v, budget, band = a[alive], b[alive], budget[alive], band[alive]
         if len(u):
-            yield self._leaves(u, v, budget)
+            yield self._leaves(u, v, behind)
 
-    def _leaves(self, u: np.ndarray, v: np.ndarray, budget: np.ndarray) -> np.ndarray:
+    def _leaves(self, u: np.ndarray, v: np.ndarray, behind: np.ndarray) -> np.ndarray:
         """From pairs of leaves, each a group of sets with equal words, to pairs of sets."""
         self.visits += len(u)
         level = self.width
@@ -444,7 +457,7 @@ class Trees:
         pair = np.repeat(np.arange(len(u)), n)
         a, b = self.start[level][u[pair]] + k // nv[pair], self.start[level][v[pair]] + k % nv[pair]
         own, block = self.at, self.block
-        keep = ((u[pair] != v[pair]) | (a < b)) & (budget[pair] >= self.pos[a] + self.pos[b])
+        keep = ((u[pair] != v[pair]) | (a < b)) & (behind[pair] >= self.pos[a] + self.pos[b])
         pa_, pb = own[a], own[b]
         # in a pair of cells only sets of different ones meet
         keep &= (block.ci[pa_] == block.cj[pa_]) | (block.side[pa_] != block.side[pb])
@@ -453,12 +466,12 @@ class Trees:
         return found[found[:, 0] != found[:, 1]]
 
 
-def block_pairs(payloads: Iterator[bytes], threshold: float = THRESHOLD, walk: int = WALK) -> Iterator[np.ndarray]:
+def block_pairs(payloads: Iterator[bytes], order: Order, threshold: float = THRESHOLD, walk: int = WALK) -> Iterator[np.ndarray]:
     """Pairs of uids of a block's packed postings that may be similar, each once a part."""
     block = Postings.unpack(payloads)
     held: list[np.ndarray] = []
     for width in block.words:
-        for found in Trees(block, width, threshold).pairs(walk):
+        for found in Trees(block, width, threshold, order).pairs(walk):
             held.append(found)
             if sum(map(len, held)) > walk:
                 yield np.unique(np.concatenate(held), axis=0)
@@ -467,12 +480,12 @@ def block_pairs(payloads: Iterator[bytes], threshold: float = THRESHOLD, walk: i
         yield np.unique(np.concatenate(held), axis=0)
 
 
-def _walk(threshold: float, walk: int):
+def _walk(sent, threshold: float, walk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payloads = [p for b in batches for p in b.column(1).to_pylist()]
         if not payloads:
             return
-        for pairs in block_pairs(iter(payloads), threshold, walk):
+        for pairs in block_pairs(iter(payloads), sent.value, threshold, walk):
             for k in range(0, len(pairs), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[k : k + 200_000, i])) for i in (0, 1)], names=["ua", "ub"])
 
@@ -532,7 +545,7 @@ def similar_units(units: DataFrame, n: int = GRAM, threshold: float = THRESHOLD,
             keys, counts = got["gram"].to_numpy().view(np.uint64)[by], got["n"].to_numpy()[by]
         sent = spark.sparkContext.broadcast((keys, counts))
         postings = units.select("uid", "norm").mapInArrow(_postings(order, sent, n, threshold, cell, blocks, passes, turn), "block bigint, payload binary")
-        one = postings.repartitionById(blocks, F.col("block").cast("int")).mapInArrow(_walk(threshold, WALK), "ua bigint, ub bigint")
+        one = postings.repartitionById(blocks, F.col("block").cast("int")).mapInArrow(_walk(order, threshold, WALK), "ua bigint, ub bigint")
         pairs = one if pairs is None else pairs.unionByName(one)
     pairs = cut(pairs.distinct(), "pairs")
     text = lambda u, t: units.select(F.col("uid").alias(u), F.col("norm").alias(t))
@@ -559,15 +572,17 @@ class NearDuplicates:
         self.chunk = chunk
         self.rows = _rows(df, id_col, text)
         keyed = cut(text_members(spread(self.rows, "id", least=1.0)), "texts")
+        context = df.sparkSession.sparkContext
+        parts = max(3 * context.defaultParallelism, keyed.rdd.getNumPartitions())
         # one text an id, chosen by its hash
         ids = keyed.groupBy("id").agg(F.min(F.struct("n1", "n2")).alias("k")).select("id", "k.n1", "k.n2")
         counts = cut(ids.groupBy("n1", "n2").agg(F.min("id").alias("uid"), F.count("*").alias("n")), "units")
         first = counts.select(F.col("uid").alias("id"), F.col("n1").alias("u1"), F.col("n2").alias("u2"))
-        texts = keyed.filter(F.length("norm") >= n).join(first, "id").filter("n1 = u1 and n2 = u2")
+        texts = keyed.filter(F.length("norm") >= n).repartition(parts, "id").join(first, "id").filter("n1 = u1 and n2 = u2")
         self.units = cut(texts.select(F.col("id").alias("uid"), "norm").dropDuplicates(["uid"]), "unit_texts")
         self.members = cut(salted_join(ids, counts.drop("n"), ["n1", "n2"], counts.drop("uid"), F.col("id"), chunk=chunk).select("uid", "id", "n1"), "members")
         self.sizes = counts.select("uid", "n")
-        self.pairs = cut(similar_units(spread(self.units, "uid"), n, threshold, table_bits, cell, hot_sent), "similar")
+        self.pairs = cut(similar_units(spread(self.units, "uid", least=1.0), n, threshold, table_bits, cell, hot_sent), "similar")
 
     def _forms(self) -> DataFrame:
         """(uid, id, c1, c2): the records that may be in a pair, with the hash of the canonical form of their text.
@@ -579,8 +594,8 @@ class NearDuplicates:
         members = salted_join(self.members, needed, ["uid"], self.sizes, F.col("id"), chunk=self.chunk)
         own = self.rows.join(members, "id").filter(F.xxhash64(normalised(F.col("raw"))) == F.col("n1"))
         made = composed(own.select("uid", "id", F.col("raw").alias("nfc")), "nfc")
-        c = canonical_text(F.col("nfc"))
-        return made.select("uid", "id", F.xxhash64(c).alias("c1"), F.xxhash64(F.lit("second"), c).alias("c2")).dropDuplicates(["id"])
+        made = made.select("uid", "id", canonical_text(F.col("nfc")).alias("c"))
+        return made.select("uid", "id", F.xxhash64("c").alias("c1"), F.xxhash64(F.lit("second"), "c").alias("c2")).dropDuplicates(["id"])
 
     def record_pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: all pairs of records that are similar but not the same words and numbers."""
