@@ -592,7 +592,8 @@ class NearDuplicates:
         paired = self.pairs.select(F.explode(F.array("ua", "ub")).alias("uid"))
         needed = paired.unionByName(self.sizes.filter("n > 1").join(self.units.select("uid"), "uid").select("uid")).distinct()
         members = salted_join(self.members, needed, ["uid"], self.sizes, F.col("id"), chunk=self.chunk)
-        own = self.rows.join(members, "id").filter(F.xxhash64(normalised(F.col("raw"))) == F.col("n1"))
+        # written as XOR so that it doesn't become a join key, for which all texts would have to be normalised
+        own = self.rows.join(members, "id").filter(F.xxhash64(normalised(F.col("raw"))).bitwiseXOR(F.col("n1")) == 0)
         made = composed(own.select("uid", "id", F.col("raw").alias("nfc")), "nfc")
         made = made.select("uid", "id", canonical_text(F.col("nfc")).alias("c"))
         return made.select("uid", "id", F.xxhash64("c").alias("c1"), F.xxhash64(F.lit("second"), "c").alias("c2")).dropDuplicates(["id"])
