@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm.sentences import N_STATES, OUT, STEP, prefix_states, spans, split_sentences, transduce
+from millrace.llm.sentences import N_STATES, OUT, STEP, batch_spans, left_automaton, prefix_states, right_automaton, spans, split_sentences, symbols_of, transduce
 
 CASES = [
     "Dr. Hadrow came.| The report by A. M. Quillan covers it.",
@@ -28,6 +28,10 @@ CASES = [
     "Title\n\n|Text goes\non here.| Next.\r\n\r\n|- item one\n|- item. two\n|* x\n|1. No tray\n|2) It is.\n|7) no item",
     "2025-11-01 09:59:36 ERROR lost! Requeue. Done\n|[2025-12-20 15:24:21.131] INFO a. B\n|After that it\nended.",
     "He said (open and never closed.| Then it went on.| So \"did this.| It ended",
+    "Open a new tab.| Then close it.| She loves modern art.| We went home.| The law is Art. 5 of it.",
+    "Wait 10 min.| Then restart the arm.| The limit is at max.| The arm stopped.| Die max. Drehzahl war zu hoch.",
+    "Take vitamin C.| It helps.| J. It was.| A. The first.| He left.| iPhone sales rose.| eBay fell.",
+    "The U.S. Senate met.| They live in the U.S.| The rest do not.| The gap is 6 mm.| Arm three moved.",
     "x = [0x7f,\t0b101]\r\ny = x[::-1]\n\n|{\"stage\": \"a. B\", \"t\": 0.8}\n\n|| a | b |\n|---|---|",
 ]
 
@@ -83,6 +87,32 @@ def test_scan_is_the_sequential_run():
         state = STEP[state, s]
 
 
+def test_automata_read_in_chunks_as_at_once():
+    """Chunks are functions of states, composed by a scan: any cut gives the states of one serial run."""
+    rng = random.Random(8)
+    pieces = ["z. B. ", "aaaa", "Dr", ".", " ", "12", "März", "中文", "é", ",", "\n", "U.S.", "x_1", "(", "»", "ab.cd.ef", "iP", "k"]
+    text = "".join(rng.choice(pieces) for _ in range(3000)) + "a" * 3000 + "ab." * 500
+    sym = symbols_of(np.array([ord(c) for c in text], np.uint32))
+    for made, _ in (left_automaton(), right_automaton()):
+        state, want = 0, []
+        for s in sym.tolist():
+            state = int(made.step[state, s])
+            want.append(state)
+        for chunk in (1, 2, 7, 64, 256, 100_000):
+            assert made.run(sym, chunk).tolist() == want
+
+
+def test_texts_read_together_are_read_apart():
+    rng = random.Random(5)
+    texts = [None, "", " ", *["".join(p for p in c.split("|")) for c in CASES]] * 3
+    rng.shuffle(texts)
+    at, start, end = batch_spans(texts)
+    got = {}
+    for i, a, b in zip(at.tolist(), start.tolist(), end.tolist()):
+        got.setdefault(i, []).append((a, b))
+    assert all(got.get(i, []) == spans(t) for i, t in enumerate(texts))
+
+
 def test_table(spark):
     rows = [(1, "One. Two."), (2, None), (3, " \n　 "), (4, ""), (1, "One. Two."), (None, "X")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' as start_char")
