@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many keys are handled as heavy. By counting, a key outside the TOP heaviest holds less than 1/TOP of the rows,
-#: so the broadcast of heavy keys has a fixed bound and what stays outside is harmless.
-TOP = 1000
+#: At most so many keys are handled as heavy, each sent with its number of salts to all tasks (some tens of MB at most). By counting, a key
+#: outside the TOP heaviest holds less than a millionth of the rows.
+TOP = 1_000_000
 #: Rows of one key that one task may take.
 CHUNK = 200_000
 
@@ -22,12 +22,15 @@ def heavy_keys(counts: DataFrame, keys: list[str], n: str = "n", chunk: int = CH
     )
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, salt_by: Column, n: str = "n", chunk: int = CHUNK) -> DataFrame:
-    """Inner equi-join of `big` (any number of rows a key) with `small` (few rows a key).
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, salt_by: Column, n: str = "n", chunk: int = CHUNK, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """Equi-join of `big` (any number of rows a key) with `small` (few rows a key), inner or left.
 
     `counts` holds the number of rows of each key of `big`. Heavy keys of `big` are salted by `salt_by` and the rows of
-    `small` with such a key are repeated once a salt. Null keys join nothing.
+    `small` with such a key are repeated once a salt. Null keys join nothing. `rows`: how many `big` has, if known; no key
+    of a table of at most `chunk` rows is heavy, so nothing is salted then.
     """
+    if rows is not None and rows <= chunk:
+        return big.join(small, keys, how)
     heavy = F.broadcast(heavy_keys(counts, keys, n, chunk))
     left = big.join(heavy, keys, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(salt_by), F.col("_salts")).cast("int")).otherwise(0)
@@ -35,4 +38,4 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataF
     right = small.join(heavy, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     ).drop("_salts")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
