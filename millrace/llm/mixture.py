@@ -21,10 +21,27 @@ from millrace.session import cut
 
 #: Records of a block and characters of a shard, on average.
 BLOCK_RECORDS, SHARD_CHARS = 500, 4_000_000
-MAX_SOURCES, MAX_BLOCKS = 10_000, 100_000
+MAX_SOURCES = 10_000
 _UINT = (1 << 64) - 1
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of `draws` picks without replacement are good, for populations of any size.
+
+    numpy's sampler takes less than 10**9. A larger population is thought to lie at uniform places, and the picks are the first ones: how many
+    good and bad lie before a place near the last pick is binomial, and what is left open is about the root of the population.
+    """
+    sure = 0
+    while good + bad >= 10**9 and draws > 0:
+        p = draws / (good + bad)
+        g, b = int(rng.binomial(good, p)), int(rng.binomial(bad, p))
+        if g + b <= draws:
+            sure, draws, good, bad = sure + g, draws - g - b, good - g, bad - b
+        else:
+            good, bad = g, b
+    return sure + (int(rng.hypergeometric(good, bad, draws)) if draws > 0 else 0)
+
+
 def hypergeometric_left(seed: int, node: int, counts: np.ndarray, draws: int) -> np.ndarray:
     """How many of `draws` picks without replacement come from each source that has `counts` uses; fixed by seed and node."""
     rng = np.random.default_rng([seed, node])
@@ -35,11 +52,7 @@ def hypergeometric_left(seed: int, node: int, counts: np.ndarray, draws: int) ->
         if draws <= 0:
             break
         rest -= c
-        # numpy's exact sampler takes at most 10**9; far beyond that the count is spread in equal parts
-        if c + rest < 10**9:
-            x = int(rng.hypergeometric(c, rest, draws)) if c else 0
-        else:
-            x = min(c, max(draws - rest, round(draws * c / (c + rest))))
+        x = hypergeometric(rng, c, rest, draws) if c else 0
         out[k] = x
         draws -= x
     return out
@@ -139,7 +152,9 @@ class Mixture:
         rows = key(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.col(source).alias("s")))
         rows = rows.filter("id is not null").filter(F.trim(F.regexp_replace("text", r"(?U)\s+", "")) != "").withColumn("name", canonical_source(F.col("s")))
         index = spark.createDataFrame(list(zip(goals.name, range(len(goals)))), "name string, src int")
-        self.rows = rows.join(F.broadcast(index), "name").select("id", "text", "src", F.length("text").cast("long").alias("chars"))  # at most MAX_SOURCES rows sent
+        rows = rows.join(F.broadcast(index), "name").select("id", "text", "src", F.length("text").cast("long").alias("chars"))  # at most MAX_SOURCES rows sent
+        # chars in the key set repeated ids with other texts apart
+        self.rows = cut(rows.withColumn("h", F.xxhash64(F.lit(seed), "src", "id", "text")), "rows")
         counted = self.rows.groupBy("src").agg(F.count("*").alias("records"), F.sum("chars").alias("chars")).toPandas()
         goals = goals.assign(src=range(len(goals))).merge(counted, on="src", how="left").fillna({"records": 0, "chars": 0})
         use = (goals.share > 0) & (goals.most > 0) & (goals.chars > 0)
@@ -150,7 +165,7 @@ class Mixture:
         # only sources that are used can fill the mixture: their quotas keep the proportions of the targets
         goals["full"] = np.where(use, np.minimum(np.floor(goals.quota / goals.chars.clip(lower=1) + 1e-9), goals.most), 0).astype(int)
         goals["rest"] = np.where(goals.full < goals.most, goals.quota - goals.full * goals.chars, 0.0).clip(min=0)
-        goals["blocks"] = np.clip(np.ceil(goals.records / block_records), 1, MAX_BLOCKS).astype(int)
+        goals["blocks"] = np.maximum(np.ceil(goals.records / block_records), 1).astype(int)
         self.goals = goals
         self.shards = max(1, int(np.ceil(self.total / shard_chars)))
 
@@ -159,11 +174,14 @@ class Mixture:
         g = self.goals
         sizes = self.spark.createDataFrame([(int(a), int(b), int(c), float(d)) for a, b, c, d in zip(g.src, g.blocks, g.full, g.rest)], "src int, nb int, full int, rest double")
         rows = self.rows.join(F.broadcast(sizes), "src")
-        # chars in the key set repeated ids with other texts apart
-        rows = rows.withColumn("h", F.xxhash64(F.lit(self.seed), "src", "id", "text")).withColumn("block", F.pmod(F.shiftright("h", 8), "nb").cast("long"))
-        per = rows.groupBy("src", "block").agg(F.sum("chars").alias("inside"))
-        over = Window.partitionBy("src").orderBy("block")  # as many rows as the source has blocks
-        return rows, per.withColumn("before", F.sum("inside").over(over) - F.col("inside"))
+        rows = rows.withColumn("block", F.pmod(F.shiftright("h", 8), "nb").cast("long"))
+        # summed up in stretches of about the root of the number of blocks, so no task orders all blocks of a source
+        per = rows.groupBy("src", "block", "nb").agg(F.sum("chars").alias("inside")).withColumn("stretch", F.floor(F.col("block") / F.ceil(F.sqrt("nb"))))
+        whole = per.groupBy("src", "stretch").agg(F.sum("inside").alias("sum"))
+        whole = whole.withColumn("start", F.sum("sum").over(Window.partitionBy("src").orderBy("stretch")) - F.col("sum")).drop("sum")
+        within = F.sum("inside").over(Window.partitionBy("src", "stretch").orderBy("block")) - F.col("inside")
+        per = per.withColumn("within", within).join(whole, ["src", "stretch"])
+        return rows, per.select("src", "block", "inside", (F.col("start") + F.col("within")).alias("before"))
 
     def draws(self) -> DataFrame:
         """(shard, position, copy, id, source, chars, text): every use of a record."""

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm.mixture import Mixture, SplittingTree, permuted
+from millrace.llm.mixture import Mixture, SplittingTree, hypergeometric, hypergeometric_left, permuted
 
 SCHEMA = "id bigint, text string, metadata struct<source: string>"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -67,3 +67,29 @@ def test_tree_gives_exact_quotas():
 def test_permutation():
     for n in (1, 2, 3, 100, 1025):
         assert sorted(permuted(np.arange(n), n, 9).tolist()) == list(range(n))
+
+
+def test_draws_beyond_a_thousand_million_uses_stay_random_and_exact():
+    got = {tuple(hypergeometric_left(seed, 1, np.array([6 * 10**8, 6 * 10**8]), 6 * 10**8)) for seed in range(3)}
+    assert len(got) == 3 and all(sum(g) == 6 * 10**8 for g in got)
+    # mean and spread of the true distribution, for populations of several sizes, few, half and nearly all drawn
+    for good, bad, draws in ((10**9, 10**9, 10**9), (3 * 10**11, 10**12, 10**6), (10**10, 10**9, 11 * 10**9 - 1000), (10**9, 2 * 10**9, 3 * 10**9), (2 * 10**9, 0, 5), (10**12, 10**12, 0)):
+        n = good + bad
+        x = np.array([hypergeometric(np.random.default_rng([seed, 5]), good, bad, draws) for seed in range(400)], float)
+        mean, spread = draws * good / n, (draws * (good / n) * (bad / n) * (n - draws) / (n - 1)) ** 0.5
+        assert (x <= min(good, draws)).all() and (x >= max(0, draws - bad)).all()
+        assert abs(x.mean() - mean) <= 4 * spread / 20 + 1e-6 * mean * (spread == 0) + 1e-9
+        assert abs(x.std() - spread) <= 0.2 * spread + 1e-9
+
+
+def test_blocks_follow_the_records(spark):
+    rows = spark.range(60_000).selectExpr("id", "concat('text ', id) as text", "named_struct('source', 'a') as metadata")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    mix = Mixture(rows, targets, block_records=2, shard_chars=20_000)
+    assert mix.goals.blocks.tolist() == [30_000]
+    per = mix._blocks()[1].orderBy("block").toPandas()
+    assert (per.before == per.inside.cumsum() - per.inside).all() and len(per) > 25_000
+    draws = mix.draws()
+    assert draws.count() == 60_000 == draws.select("id").distinct().count()
+    sizes = draws.groupBy("shard").agg({"chars": "sum"}).toPandas()
+    assert sizes["sum(chars)"].max() < 40_000
