@@ -141,7 +141,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", siz
     )
     # full pieces take containers behind the shared ones, numbered by (block, row): no order over all rows is needed
     own = whole.filter("full > 0")
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(1, -(-own.count() // rank_block))  # follows the items, so that numbers don't depend on the session
     own = own.withColumn("h", h).withColumn("block", F.pmod("h", F.lit(groups)))
     sums = cut(own.groupBy("block").agg(F.sum("full").alias("k")), "full_starts")
     sums = sums.withColumn("before", F.sum("k").over(Window.orderBy("block")) - F.col("k")).drop("k")  # one row a block

@@ -62,3 +62,14 @@ def test_empty_and_hot_size(spark):
     same = spark.range(1000).selectExpr("id as doc_id", "3L as n_tokens")
     per = pack(same, 10, rank_block=50).groupBy("container").count().toPandas()
     assert per["count"].max() == 3 and len(per) == 334
+
+
+def test_numbers_do_not_depend_on_the_session(spark):
+    df = spark.createDataFrame([(i, 100 + 37 * i) for i in range(200)], "doc_id bigint, n_tokens int")
+    got = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("2", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append(sorted(map(tuple, pack(df, capacity=1000, rank_block=7).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
