@@ -1,13 +1,14 @@
 """Implausible readings in measurement series, relative to each source's normal behaviour.
 
-A series is one metric of one source (and device), ordered by time. Its undecimated Haar wavelet details at the finest
-scale are the differences of successive readings. The robust scale is their median magnitude. Details beyond
-`factor` scales open and close bursts, runs of zero details are stuck sensors, and fixed bounds catch what can't occur.
+A series is one metric of one source (and device), ordered by time. Its undecimated Haar wavelet details at dilation k are the
+differences of readings k apart. The robust scale is the median magnitude of the details at the finest scale. A burst of n readings is
+opened by details of dilations 1 to n beyond `factor` scales in one direction and closed by details of dilations 1 to n beyond it in the other,
+runs of zero details are stuck sensors, and fixed bounds catch what can't occur.
 
 The rows are range-partitioned by (source, time), so a source of any size is spread over many blocks of bounded size. A
 source that lies inside one block is decided there. For a source that reaches over block borders, each block gives its
-distinct detail magnitudes with counts, its local extrema and the readings next to its borders; the exact scale of
-the whole series, and the few cases that cross a border, follow from those.
+distinct detail magnitudes with counts, the thresholds up to which its details make bursts and the readings next to its borders; the exact scale of
+the whole series, and the few cases that cross a border, follow from those. Borders are joined in a tree of bounded width.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ STUCK = 12
 BURST = 3
 #: Rows of one block.
 BLOCK_ROWS = 50_000
+#: Neighbouring parts of a series that one task joins.
+FAN = 1_000
 
 _DOUBLES = pa.list_(pa.float64())
 _PARTIAL = {"w": pa.string(), "metric": pa.string(), "device": pa.int32(), "block": pa.int32(), "n": pa.int64()} | {
@@ -80,23 +83,33 @@ def runs(x: np.ndarray, least: int = STUCK) -> np.ndarray:
     return out
 
 
+def coefficients(x: np.ndarray, longest: int = BURST) -> list[np.ndarray]:
+    """Undecimated Haar details at the dilations 1 to `longest`: the k-th has x[i] - x[i - k] at i, and 0 where there is no x[i - k]."""
+    out = []
+    for k in range(1, longest + 1):
+        d = np.zeros(len(x))
+        with np.errstate(invalid="ignore"):
+            d[k:] = np.nan_to_num(x[k:] - x[:-k], nan=0.0, posinf=np.inf, neginf=-np.inf)
+        out.append(d)
+    return out
+
+
 def margins(x: np.ndarray, onsets: np.ndarray | None = None, longest: int = BURST) -> np.ndarray:
-    """How far each reading stands out: the largest distance of a burst of up to `longest` readings that holds it from
-    both its neighbours, 0 where there is none. `onsets`: only bursts that start at these positions."""
+    """The largest threshold at which the details still make each reading part of a burst of up to `longest` readings, 0
+    where they don't. `onsets`: only bursts that start at these positions, where the finest detail is beyond the threshold already."""
     n = len(x)
     out = np.zeros(n)
+    d = coefficients(x, longest)
     for length in range(1, longest + 1):
         if n < length + 2:
             break
         i = np.arange(1, n - length) if onsets is None else onsets[(onsets >= 1) & (onsets < n - length)]
         if not len(i):
             continue
-        low = high = x[i]
-        for k in range(1, length):
-            low, high = np.minimum(low, x[i + k]), np.maximum(high, x[i + k])
-        left, right = x[i - 1], x[i + length]
-        with np.errstate(invalid="ignore"):
-            m = np.nan_to_num(np.maximum(low - np.maximum(left, right), np.minimum(left, right) - high), nan=0.0, posinf=np.inf)
+        # details from the reading before to each of the burst, and from each of the burst to the reading behind
+        opening = np.stack([d[k][i + k] for k in range(length)])
+        closing = -np.stack([d[k][i + length] for k in range(length)])
+        m = np.maximum(np.minimum(opening.min(axis=0), closing.min(axis=0)), np.minimum((-opening).min(axis=0), (-closing).min(axis=0)))
         keep = m > 0
         for k in range(length):
             np.maximum.at(out, i[keep] + k, m[keep])
@@ -216,8 +229,11 @@ def _partial(rows: dict[str, list], worker: str, metric: str, device: int, block
         rows[k].append(v)
 
 
+_BORDERS = "w string, metric string, device int, kind string, ts double, m double, block long, hx array<double>, ht array<double>, tx array<double>, tt array<double>"
+
+
 def _borders(key, pdf):
-    """Details, bursts and runs that cross a border between blocks of one series."""
+    """Details, bursts and runs that cross a border between neighbouring parts of one series, and the outer readings of all of them as one larger part."""
     import pandas as pd
 
     pdf = pdf.sort_values("block")
@@ -229,21 +245,39 @@ def _borders(key, pdf):
         if len(r.tx):
             # the readings between head and tail aren't here: nothing may reach over them
             gaps.append(sum(map(len, x)) - len(r.tx))
-    if not x:
-        return pd.DataFrame(columns=["w", "metric", "device", "kind", "ts", "m"])
-    x, t, owner = map(np.concatenate, (x, t, owner))
     found = []
-    for a, b in zip([0, *gaps], [*gaps, len(x)]):
-        xs, ts, os = x[a:b], t[a:b], owner[a:b]
-        crossing = os[1:] != os[:-1]
-        found += [("detail", 0.0, v) for v in np.abs(details(xs))[crossing]]
-        m = margins(xs)
-        found += [("burst", ts[i], m[i]) for i in np.flatnonzero(m > 0)]
-        found += [("stuck", ts[i], 0.0) for i in np.flatnonzero(runs(xs))]
+    if x:
+        x, t, owner = map(np.concatenate, (x, t, owner))
+        for a, b in zip([0, *gaps], [*gaps, len(x)]):
+            xs, ts, os = x[a:b], t[a:b], owner[a:b]
+            crossing = os[1:] != os[:-1]
+            found += [("detail", 0.0, v) for v in np.abs(details(xs))[crossing]]
+            m = margins(xs)
+            found += [("burst", ts[i], m[i]) for i in np.flatnonzero(m > 0)]
+            found += [("stuck", ts[i], 0.0) for i in np.flatnonzero(runs(xs))]
     out = pd.DataFrame(found, columns=["kind", "ts", "m"])
+    for c in ("block", "hx", "ht", "tx", "tt"):
+        out[c] = None
+    if len(x):
+        short = not gaps and len(x) <= 2 * STUCK
+        part = {"kind": "part", "ts": None, "m": None, "block": int(key[3]), "hx": x if short else x[:STUCK], "ht": t if short else t[:STUCK], "tx": x[:0] if short else x[-STUCK:], "tt": t[:0] if short else t[-STUCK:]}
+        out = pd.concat([out, pd.DataFrame([part])]) if len(out) else pd.DataFrame([part])
     for k, v in zip(_SERIES, key):
         out[k] = v
-    return out[["w", "metric", "device", "kind", "ts", "m"]]
+    return out[["w", "metric", "device", "kind", "ts", "m", "block", "hx", "ht", "tx", "tt"]]
+
+
+def _crossing(partial: DataFrame, blocks: int, fan: int) -> DataFrame:
+    """(series, kind, ts, m): what crosses borders. Each task joins at most `fan` neighbouring parts of a series; the parts so made are joined again until one is left."""
+    parts, found, left = partial.select(*_SERIES, F.col("block").cast("long").alias("block"), "hx", "ht", "tx", "tt"), None, blocks
+    while True:
+        out = cut(parts.withColumn("_up", F.floor(F.col("block") / fan)).groupBy(*_SERIES, "_up").applyInPandas(_borders, _BORDERS), "borders")
+        new = out.filter("kind != 'part'").select(*_SERIES, "kind", "ts", "m")
+        found = new if found is None else found.unionByName(new)
+        left = -(-left // fan)
+        if left <= 1:
+            return found
+        parts = out.filter("kind = 'part'").select(*_SERIES, "block", "hx", "ht", "tx", "tt")
 
 
 def weighted_median(counted: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
@@ -273,7 +307,7 @@ def weighted_median(counted: DataFrame, keys: list[str], value: str, n: str) ->
 
 def implausible_readings(
     df: DataFrame, metrics: tuple[Metric, ...] = SNAPSHOT_METRICS, *, id_col: str = "snapshot_id", source: str = "worker_id",
-    time: str = "timestamp", factor: float = FACTOR, block_rows: int = BLOCK_ROWS, blocks: int | None = None,
+    time: str = "timestamp", factor: float = FACTOR, block_rows: int = BLOCK_ROWS, blocks: int | None = None, fan: int = FAN,
 ) -> DataFrame:
     """(`id_col`, metric, device): one row for each implausible reading; device is -1 for a metric without devices.
 
@@ -309,19 +343,13 @@ def implausible_readings(
         else:
             made += [F.col(f"{c}{k}_0").alias(f"{c}{k}") for c in "vh"]
     readings = base.filter("ts is not null").groupBy("w", "ts").agg(*aggs).select("w", "ts", *made)
-    untimed = [
-        base.filter("ts is null").select("id", *_bounds(m, k, kinds[f"h{k}"].startswith("array"))) for k, m in enumerate(metrics)
-    ]
+    untimed = base.filter("ts is null").select("id", F.explode(F.array(*[_bounds(m, k, kinds[f"h{k}"].startswith("array")) for k, m in enumerate(metrics)])).alias("u")).select("id", "u.*")
     blocks = blocks or max(spark.sparkContext.defaultParallelism, -(-widths["n"] // block_rows))
     placed = readings.repartitionByRange(blocks, "w", "ts").sortWithinPartitions("w", "ts")
     out = cut(placed.mapInArrow(_block(metrics, factor), _DDL), "blocks")
 
     partial = out.filter("not final")
-    crossing = cut(
-        partial.select(*_SERIES, "block", "hx", "ht", "tx", "tt").groupBy(*_SERIES).applyInPandas(
-            _borders, "w string, metric string, device int, kind string, ts double, m double"
-        ), "borders",
-    )
+    crossing = _crossing(partial, blocks, fan)
     one = F.lit(1.0).alias("c")
     mags = partial.select(*_SERIES, F.explode(F.arrays_zip("mag", "mag_n")).alias("z")).select(*_SERIES, F.col("z.mag").alias("x"), F.col("z.mag_n").alias("c"))
     mags = mags.unionByName(crossing.filter("kind = 'detail'").select(*_SERIES, F.col("m").alias("x"), one))
@@ -342,13 +370,12 @@ def implausible_readings(
     cases = out.filter("final").select(*_SERIES, "ts").unionByName(bursts).unionByName(stuck).distinct()
     ids = base.select("w", "ts", "id").filter("ts is not null")
     named = cases.join(ids, ["w", "ts"]).select("id", "metric", "device")
-    for u in untimed:
-        named = named.unionByName(_untimed(u))
+    named = named.unionByName(_untimed(untimed))
     return named.filter("id is not null").select(F.col("id").alias(id_col), "metric", "device")
 
 
-def _bounds(m: Metric, k: int, array_bound: bool) -> list[Column]:
-    """Columns for the bounds of rows without a time: an array of flags, one a device."""
+def _bounds(m: Metric, k: int, array_bound: bool) -> Column:
+    """The bounds of rows without a time: the metric, its first device and an array of flags, one a device."""
     v, h = F.col(f"v{k}"), F.col(f"h{k}")
     low = F.lit(m.low)
 
@@ -360,7 +387,7 @@ def _bounds(m: Metric, k: int, array_bound: bool) -> list[Column]:
     else:
         top = (lambda i: F.get(h, i)) if array_bound else (lambda i: h)
         flags = F.transform(v, lambda x, i: bad(x, top(i)))
-    return [F.lit(m.name).alias("metric"), F.lit(0 if m.per_device else -1).alias("base"), flags.alias("flags")]
+    return F.struct(F.lit(m.name).alias("metric"), F.lit(0 if m.per_device else -1).alias("base"), flags.alias("flags"))
 
 
 def _untimed(u: DataFrame) -> DataFrame:

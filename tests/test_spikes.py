@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.operators.spikes import implausible, implausible_readings, majority, margins, runs, weighted_median
+from millrace.operators.spikes import coefficients, implausible, implausible_readings, majority, margins, runs, weighted_median
 
 SCHEMA = (
     "snapshot_id bigint, worker_id string, timestamp double, cpu_percent double, cpu_count int, "
@@ -85,11 +85,11 @@ def table(seed, sizes):
     return rows
 
 
-@pytest.mark.parametrize("seed,sizes,blocks", [(1, [400, 60, 5], 1), (2, [700, 30, 30], 9), (3, [300, 1, 2, 200, 13], 40)])
-def test_against_brute_force(spark, seed, sizes, blocks):
+@pytest.mark.parametrize("seed,sizes,blocks,fan", [(1, [400, 60, 5], 1, 1000), (2, [700, 30, 30], 9, 1000), (3, [300, 1, 2, 200, 13], 40, 1000), (2, [700, 30, 30], 9, 2), (3, [300, 1, 2, 200, 13], 40, 3)])
+def test_against_brute_force(spark, seed, sizes, blocks, fan):
     rows = table(seed, sizes)
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as metric", "1 as device", "2 as w")
-    got = [tuple(r) for r in implausible_readings(df, blocks=blocks).collect()]
+    got = [tuple(r) for r in implausible_readings(df, blocks=blocks, fan=fan).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows) and got
 
 
@@ -115,6 +115,14 @@ def test_parts():
     assert not implausible(np.array([1.0, 2.0])).any()
 
 
+def test_bursts_are_made_by_coefficients_of_their_scales():
+    d = coefficients(np.array([0.0, 9, 8, 7, 1]))
+    assert [c.tolist() for c in d] == [[0, 9, -1, -1, -6], [0, 0, 8, -2, -7], [0, 0, 0, 7, -8]]
+    # opened by 9, 8, 7 and closed by 6, 7, 8: a burst up to a threshold of 6
+    assert margins(np.array([0.0, 9, 8, 7, 1])).tolist() == [0, 6, 6, 6, 0]
+    assert margins(np.array([0.0, 9, 8, 7, 1]), longest=2).tolist() == [0, 1, 1, 0, 0]
+
+
 def test_weighted_median(spark):
     rng = random.Random(3)
     rows = [(k, round(rng.choice([0.0, 0.1, 2.5, 1e6]) * rng.random(), 3), rng.randrange(1, 5)) for k in range(5) for _ in range(41)]
