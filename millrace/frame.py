@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import warnings
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
 from typing import Any
@@ -157,26 +158,40 @@ class Frame:
 
     where = filter
 
-    def map(self, func: Callable[[dict], dict], schema: str | T.StructType | None = None) -> Frame:
-        """Row to row. A row whose call fails is left out; `schema` is taken from the first row's result if not given."""
-        return self.flat_map(lambda row: [func(row)], schema)
+    def map(self, func: Callable[[dict], dict], schema: str | T.StructType | None = None, on_error: str = "skip") -> Frame:
+        """Row to row; `schema` is taken from the first row's result if not given. Failing rows as in `flat_map`."""
+        return self.flat_map(lambda row: [func(row)], schema, on_error)
 
-    def flat_map(self, func: Callable[[dict], Iterable[dict] | dict], schema: str | T.StructType | None = None) -> Frame:
-        """Row to any number of rows; a single dict counts as one. A row whose call fails is left out."""
+    def flat_map(self, func: Callable[[dict], Iterable[dict] | dict], schema: str | T.StructType | None = None, on_error: str = "skip") -> Frame:
+        """Row to any number of rows; a single dict counts as one.
+
+        A row whose call fails is left out and counted in the result's `rejected.value` once an action has run (a repeated task
+        counts again); a warning tells of the first of each batch. With on_error='raise' it fails the action.
+        """
+        if on_error not in ("skip", "raise"):
+            raise ValueError("on_error must be skip or raise")
         wanted = self._schema(func, schema)
+        rejected = self.df.sparkSession.sparkContext.accumulator(0)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
-                out = []
+                out, lost, first = [], 0, None
                 for row in rows.to_dict("records"):
                     try:
                         made = func(row)
                         out += [made] if isinstance(made, dict) else [dict(m) for m in made or ()]
-                    except Exception:
-                        continue
+                    except Exception as e:
+                        if on_error == "raise":
+                            raise
+                        lost, first = lost + 1, first or e
+                if lost:
+                    rejected.add(lost)
+                    warnings.warn(f"{lost} of {len(rows)} rows of a batch rejected, the first by {type(first).__name__}: {first}", stacklevel=2)
                 yield pd.DataFrame(out, columns=wanted.names)
 
-        return Frame(self.df.mapInPandas(run, wanted))
+        made = Frame(self.df.mapInPandas(run, wanted))
+        made.rejected = rejected
+        return made
 
     def map_batches(self, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType | None = None, batch_size: int | None = None) -> Frame:
         """Pandas batch to pandas batch, at most `batch_size` rows each."""
@@ -200,7 +215,10 @@ class Frame:
         if schema is not None:
             return self._as_schema(schema)
         for row in self.df.limit(1).collect():
-            made = func(row.asDict(True))
+            try:
+                made = func(row.asDict(True))
+            except Exception as e:
+                raise ValueError(f"no schema given, and the call fails for the first row: {type(e).__name__}: {e}") from e
             made = [made] if isinstance(made, dict) else list(made)
             if made:
                 return self.df.sparkSession.createDataFrame([Row(**made[0])]).schema

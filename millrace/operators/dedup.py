@@ -132,6 +132,26 @@ def minhash_pairs(texts: DataFrame, id_col: str, text: str, threshold: float = 0
     return pairs_in_buckets(placed.join(signed, id_col), ["band", "bucket"], id_col, "signature", agreement, threshold, cell)
 
 
+def verified(pairs: DataFrame, texts: DataFrame, id_col: str, text: str, threshold: float, gram: int = GRAM) -> DataFrame:
+    """(a, b, score): the pairs whose sets of character grams have a true similarity of at least `threshold`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, scores = [], []
+            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                u, v = ({t[k : k + gram] for k in range(len(t) - gram + 1)} for t in (x, y))
+                both = len(u & v)
+                score = both / (len(u) + len(v) - both)
+                if score >= threshold:
+                    keep.append(i), scores.append(score)
+            at = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(scores, pa.float64())], names=["a", "b", "score"])
+
+    side = lambda c, t: texts.select(F.col(id_col).alias(c), F.col(text).alias(t))
+    both = pairs.select("a", "b").join(side("b", "tb"), "b").join(side("a", "ta"), "a").select("a", "b", "ta", "tb")
+    return both.mapInArrow(run, "a bigint, b bigint, score double")
+
+
 def drop_similar(ids: DataFrame, pairs: DataFrame, mode: str = "any_earlier", chunk: int = CHUNK) -> DataFrame:
     """(id, class_id, n_links, keep) for each id, by its similar pairs (a, b).
 
@@ -179,14 +199,18 @@ def _expand(members: DataFrame, decided: DataFrame, sizes: DataFrame) -> DataFra
     return out.select("id", "class_id", "n_links", (F.col("_keep") & (F.col("id") == F.col("rep"))).alias("keep"))
 
 
-def dedup_texts(df: DataFrame, id_col: str, text: str = "text", threshold: float = 0.8, mode: str = "any_earlier", bands: int = BANDS, hashes: int = HASHES, cell: int = CELL) -> DataFrame:
+def dedup_texts(df: DataFrame, id_col: str, text: str = "text", threshold: float = 0.8, mode: str = "any_earlier", bands: int = BANDS, hashes: int = HASHES, cell: int = CELL, exact: bool = False) -> DataFrame:
     """(id, class_id, n_links, keep) of each row: MinHash near-duplicates of whole texts.
 
-    Rows with a null text pass through, each a class of its own; texts shorter than the gram only match exact copies.
+    By default the signatures decide, as they estimate. With `exact` pairs whose signatures agree in at least the threshold less four standard errors are verified
+    on the texts, so that only pairs that share no band can be missing. Rows with a null text pass through, each a class of its own; texts shorter than the gram only match exact copies.
     """
     members, sizes = copies(df, id_col, text)
     reps = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text")).join(sizes.select("rep"), "rep").dropDuplicates(["rep"])
-    pairs = minhash_pairs(reps, "rep", "text", threshold, bands, hashes, cell)
+    slack = 4 * (threshold * (1 - threshold) / hashes) ** 0.5 if exact else 0.0
+    pairs = minhash_pairs(reps, "rep", "text", threshold - slack, bands, hashes, cell)
+    if exact:
+        pairs = verified(pairs, reps, "rep", "text", threshold)
     decided = drop_similar(sizes.select(F.col("rep").alias("id")), pairs, mode)
     out = _expand(members, decided, sizes)
     i = F.col(id_col).cast("long")

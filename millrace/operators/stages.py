@@ -160,22 +160,77 @@ class IsolationOutliers(Stage):
         return df.withColumn(self.column, F.pandas_udf(run, "array<double>")(self.column))
 
 
+def sampled_frames(frames: np.ndarray, fps: float | None = None, rate: float | None = None, size: tuple[int, int] | None = (224, 224), scale: bool = True) -> np.ndarray:
+    """Of frames (n, height, width[, channels]) every max(1, int(fps / rate))-th, resized by area-free nearest pixels, and in [0, 1] with `scale`."""
+    out = np.asarray(frames)
+    if fps and rate:
+        out = out[:: max(1, int(fps / rate))]
+    if size and len(out):
+        rows = (np.arange(size[0]) * out.shape[1] / size[0]).astype(int)
+        columns = (np.arange(size[1]) * out.shape[2] / size[1]).astype(int)
+        out = out[:, rows][:, :, columns]
+    return out / 255.0 if scale else out
+
+
+def npy_frames(data: bytes) -> tuple[np.ndarray, float | None]:
+    """Frames stored as one npy array; the decoder that needs no codec."""
+    import io
+
+    return np.load(io.BytesIO(data), allow_pickle=False), None
+
+
 class VideoProcessor(Stage):
-    """Decode frames of video rows by a given decoder (bytes -> array of frames); without one this raises."""
+    """Frames of video rows: decoded by `decoder` (bytes -> frames, or frames and their rate), sampled, resized and scaled, each flattened.
+
+    Without a decoder contents that are npy arrays are read; other codecs need one, and a content that can't be decoded gives null frames and frames_error.
+    """
 
     name = "video_processor"
 
-    def __init__(self, decoder: Callable[[bytes], list] | None = None, column: str = "content", returns: str = "array<binary>", strict: bool = False):
-        self.decoder, self.column, self.returns, self.strict = decoder, column, returns, strict
+    def __init__(self, decoder: Callable[[bytes], Any] | None = None, column: str = "content", rate: float | None = None, size: tuple[int, int] | None = (224, 224), scale: bool = True, strict: bool = False):
+        self.decoder, self.column, self.rate, self.size, self.scale, self.strict = decoder or npy_frames, column, rate, size, scale, strict
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if self.decoder is None:
-            raise RuntimeError("decoding video needs a decoder: pass a function from bytes to frames, e.g. based on OpenCV")
-        decode = self.decoder
+        if self.column not in df.columns:
+            raise RuntimeError(f"there is no column {self.column} for the decoder")
+        decode, rate, size, scale = self.decoder, self.rate, self.size, self.scale
         video = data_type(df) == "video"
-        frames = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else decode(b)), self.returns)
-        out = df.filter(video) if self.strict else df
-        return out.withColumn("frames", F.when(video, frames(self.column)))
+
+        def run(contents: pd.Series) -> pd.DataFrame:
+            out = []
+            for b in contents:
+                if b is None:
+                    out.append((None, None, None))
+                    continue
+                try:
+                    got = decode(bytes(b))
+                    frames, fps = got if isinstance(got, tuple) else (got, None)
+                    made = sampled_frames(frames, fps, rate, size, scale)
+                    out.append((made.reshape(len(made), -1).astype(float).tolist(), list(made.shape), None))
+                except Exception as e:
+                    out.append((None, None, f"{type(e).__name__}: {e}"))
+            return pd.DataFrame(out, columns=["frames", "shape", "error"])
+
+        made = F.pandas_udf(run, "frames array<array<double>>, shape array<int>, error string")
+        out = (df.filter(video) if self.strict else df).withColumn("_v", made(F.when(video, F.col(self.column))))
+        return out.withColumns({"frames": F.col("_v.frames"), "frames_shape": F.col("_v.shape"), "frames_error": F.col("_v.error")}).drop("_v")
+
+
+def text_embeddings(df: DataFrame, text: str = "text", name: str = "embedding", dimension: int = 384) -> DataFrame:
+    """A stand-in for a model: a Gaussian unit vector seeded by the text's SHA-256. Equal texts are equal, others nearly orthogonal; null stays null."""
+    import hashlib
+
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for t in s:
+            if t is None:
+                out.append(None)
+                continue
+            v = np.random.default_rng(np.frombuffer(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest(), np.uint32)).normal(size=dimension)
+            out.append((v / np.linalg.norm(v)).astype(np.float32))
+        return pd.Series(out)
+
+    return df.withColumn(name, F.pandas_udf(run, "array<float>")(text))
 
 
 class QualityFilter(Stage):

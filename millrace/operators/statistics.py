@@ -155,11 +155,15 @@ def ks(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
 
 
 def chi_square(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """(chi2, degrees): how the categories of the current data deviate from the reference's proportions; categories unknown to the reference are left out."""
+    """(chi2, degrees, new_categories, new_rows): how the categories of the current data deviate from the reference's proportions. A category
+    that the reference lacks has no proportion to compare with; such categories and their rows are counted by themselves."""
     part = lambda d, n: d.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(n))
-    both = part(reference, "r").join(part(current, "c"), column, "left").fillna(0, ["c"])
-    both = both.withColumn("e", F.col("r") * F.sum("c").over(Window.partitionBy()) / F.sum("r").over(Window.partitionBy()))
-    return both.agg(F.sum((F.col("c") - F.col("e")) ** 2 / F.col("e")).alias("chi2"), (F.count("*") - 1).alias("degrees"))
+    every = part(reference, "r").join(part(current, "c"), column, "outer").fillna(0, ["r", "c"])
+    both = every.withColumn("new", F.col("r") == 0)
+    counts = every.filter("r = 0").agg(F.count("*").alias("new_categories"), F.coalesce(F.sum("c"), F.lit(0)).alias("new_rows"))
+    both = both.filter("not new").withColumn("e", F.col("r") * F.sum("c").over(Window.partitionBy()) / F.sum("r").over(Window.partitionBy()))
+    score = both.agg(F.sum((F.col("c") - F.col("e")) ** 2 / F.col("e")).alias("chi2"), (F.count("*") - 1).alias("degrees"))
+    return score.join(F.broadcast(counts), how="cross")  # one row each
 
 
 def detect_drift(reference: DataFrame, current: DataFrame, column: str, method: str = "ks", threshold: float = 0.1) -> DataFrame:

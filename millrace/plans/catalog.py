@@ -31,7 +31,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from millrace.plans import curation, formats, measurements, motion, relational, streams  # noqa: F401
+    from millrace.plans import curation, formats, loaders, measurements, motion, operations, preparing, relational, streams, surface  # noqa: F401
 
     return dict(QUERIES)
 

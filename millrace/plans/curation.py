@@ -272,6 +272,13 @@ def drift_chi2(s: SparkSession, d: str) -> DataFrame:
     return S.chi_square(*_halves(s, d), "event_type").select(F.round("chi2", 6).alias("chi2"), "degrees")
 
 
+@query("drift_new_categories", "SELECT count(*) AS new_categories, sum(n) AS new_rows FROM (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 AND o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1)")
+def drift_new_categories(s: SparkSession, d: str) -> DataFrame:
+    o = read(s, d, "orders")
+    before = o.filter("o_orderkey % 2 = 0 and o_orderpriority not in ('1-URGENT', '2-HIGH')")
+    return S.chi_square(before, o.filter("o_orderkey % 2 = 1"), "o_orderpriority").select("new_categories", "new_rows")
+
+
 # --- shards and splits ---
 
 
@@ -290,16 +297,9 @@ def shard_md5(s: SparkSession, d: str) -> DataFrame:
     return shard(_docs(s, d), 16, "hash", "doc_id").select("doc_id", "shard_id")
 
 
-@query("shard_task", f"SELECT row_id, {_md5('coalesce(task_id, episode_id)', 10)} AS shard_id FROM test_groot WHERE coalesce(task_id, episode_id) IS NOT NULL")
-def shard_task(s: SparkSession, d: str) -> DataFrame:
-    from millrace.operators.stages import shard
-
-    return shard(read(s, d, "test_groot").filter("coalesce(task_id, episode_id) is not null"), 10, "task_based").select("row_id", "shard_id")
-
-
 # The operators' fallback for rows without the keys is row_id: SQL has no equal of the row hash.
-@query("shard_task_all", f"SELECT row_id, {_md5('coalesce(task_id, episode_id, row_id::VARCHAR)', 10)} AS shard_id FROM test_groot")
-def shard_task_all(s: SparkSession, d: str) -> DataFrame:
+@query("shard_task", f"SELECT row_id, {_md5('coalesce(task_id, episode_id, row_id::VARCHAR)', 10)} AS shard_id FROM test_groot")
+def shard_task(s: SparkSession, d: str) -> DataFrame:
     from millrace.operators.stages import shard
 
     return shard(read(s, d, "test_groot"), 10, "task_based", "row_id").select("row_id", "shard_id")
@@ -318,13 +318,7 @@ def shard_stats(s: SparkSession, d: str) -> DataFrame:
     return S.balance(shard_md5(s, d), "shard_id").withColumn("imbalance", F.round("imbalance", 6))
 
 
-@query("split_md5", f"SELECT row_id, {_md5('episode_id', 100)} < 90 AS is_train FROM test_groot WHERE episode_id IS NOT NULL")
+@query("split_md5", f"SELECT row_id, CASE WHEN {_md5('coalesce(episode_id, row_id::VARCHAR)', 100)} < 90 THEN 'train' ELSE 'val' END AS split FROM test_groot")
 def split_md5(s: SparkSession, d: str) -> DataFrame:
-    df = read(s, d, "test_groot").filter("episode_id is not null")
-    return train_split(df).select("row_id", (F.col("split") == "train").alias("is_train"))
-
-
-@query("split_md5_all", f"SELECT row_id, CASE WHEN {_md5('coalesce(episode_id, row_id::VARCHAR)', 100)} < 90 THEN 'train' ELSE 'val' END AS split FROM test_groot")
-def split_md5_all(s: SparkSession, d: str) -> DataFrame:
     """All rows by train_split; row_id stands in as the path of rows without an episode."""
     return train_split(read(s, d, "test_groot").withColumn("path", F.col("row_id").cast("string"))).select("row_id", "split")

@@ -185,6 +185,66 @@ class Lineage:
         self._write({"type": "FAIL", "run": run, "message": message})
 
 
+class Metrics:
+    """Counts and observed values of runs by name, safe to use from several threads."""
+
+    def __init__(self) -> None:
+        self._lock, self.counts, self.values = threading.Lock(), {}, {}
+
+    def count(self, name: str, by: float = 1) -> None:
+        with self._lock:
+            self.counts[name] = self.counts.get(name, 0) + by
+
+    def observe(self, name: str, value: float) -> None:
+        with self._lock:
+            n, total, low, high = self.values.get(name, (0, 0.0, value, value))
+            self.values[name] = n + 1, total + value, min(low, value), max(high, value)
+
+    def rows(self) -> list[tuple[str, str, float]]:
+        """(name, kind, value): count, sum, min, max and mean of what was observed."""
+        with self._lock:
+            out = [(k, "total", float(v)) for k, v in self.counts.items()]
+            for k, (n, total, low, high) in self.values.items():
+                out += [(k, "count", float(n)), (k, "sum", total), (k, "min", low), (k, "max", high), (k, "mean", total / n)]
+        return sorted(out)
+
+
+class Context:
+    """Named values that the parts of an application share."""
+
+    def __init__(self, **values: Any):
+        self._lock, self._values = threading.RLock(), dict(values)
+
+    def set(self, name: str, value: Any) -> None:
+        with self._lock:
+            self._values[name] = value
+
+    def get(self, name: str, default: Any = None) -> Any:
+        with self._lock:
+            return self._values.get(name, default)
+
+    def update(self, **values: Any) -> None:
+        with self._lock:
+            self._values.update(values)
+
+    def clear(self) -> None:
+        with self._lock:
+            self._values.clear()
+
+    def __contains__(self, name: str) -> bool:
+        return name in self._values
+
+
+def tuned(input_bytes: int, cores: int, executor_memory: int, per_core: int | None = None, row_bytes: int = 1_000) -> dict[str, int]:
+    """Settings for an input: scan and shuffle partitions that fit a task's share of the memory with room to spare, at least two a core, and Arrow batches of about 8 MB."""
+    share = executor_memory // max(1, per_core or cores)
+    target = max(1 << 20, min(128 << 20, share // 8))
+    return {
+        "spark.sql.files.maxPartitionBytes": target, "spark.sql.shuffle.partitions": max(2 * cores, -(-input_bytes // target)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": target, "spark.sql.execution.arrow.maxRecordsPerBatch": max(100, min(10_000, (8 << 20) // max(1, row_bytes))),
+    }
+
+
 def validate_path(path: str, max_length: int = 4096) -> tuple[bool, str]:
     if not path:
         return False, "empty path"

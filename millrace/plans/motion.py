@@ -40,17 +40,10 @@ def rl_transitions(s: SparkSession, d: str) -> DataFrame:
     return E.transitions(_events(s, d), "user_id", "event_id", "value", "event_type", "value")
 
 
-@query("transition_validate", """SELECT step, len(state) = len(next_state) AS transition_valid FROM (SELECT vec_id AS step, embedding[1:1 + vec_id % 3] AS state, lead(embedding[1:1 + vec_id % 3]) OVER (PARTITION BY label ORDER BY vec_id) AS next_state FROM embeddings)
-    WHERE next_state IS NOT NULL""")
-def transition_validate(s: SparkSession, d: str) -> DataFrame:
-    df = read(s, d, "embeddings").withColumn("state", F.slice("embedding", 1, (F.col("vec_id") % 3 + 1).cast("int"))).withColumn("a", F.lit(1))
-    return E.validate_transitions(E.transitions(df, "label", "vec_id", "state", "a")).select("step", "transition_valid")
-
-
-@query("transition_validate_whole", """SELECT step, len(state) = len(next_state) AS transition_valid FROM (SELECT id AS step, values AS state, lead(values) OVER (PARTITION BY metadata.source ORDER BY id) AS next_state FROM mock_data)
+@query("transition_validate", """SELECT step, len(state) = len(next_state) AS transition_valid FROM (SELECT id AS step, values AS state, lead(values) OVER (PARTITION BY metadata.source ORDER BY id) AS next_state FROM mock_data)
     WHERE state IS NOT NULL AND next_state IS NOT NULL""")
-def transition_validate_whole(s: SparkSession, d: str) -> DataFrame:
-    """States are whole arrays of naturally varying length, where transition_validate has at most three values."""
+def transition_validate(s: SparkSession, d: str) -> DataFrame:
+    """States are whole arrays of naturally varying length."""
     df = read(s, d, "mock_data").select("id", F.col("metadata.source").alias("source"), F.col("values").alias("state"), F.lit(1).alias("a"))
     return E.validate_transitions(E.transitions(df, "source", "id", "state", "a")).select("step", "transition_valid")
 
@@ -68,12 +61,16 @@ def resample_timestamps(s: SparkSession, d: str) -> DataFrame:
     return E.align_times(df, {"episode": "a", "step": "b"}, rate=2.0).select("event_id", "resampled_timestamps")
 
 
+_WHOLE = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
+
+
 def _resample(method: str, value: str) -> str:
-    return f"SELECT vec_id, list_transform(range(11), lambda i: round({value}, 6)) AS \"values\" FROM (SELECT vec_id, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS e FROM embeddings)"
+    return f"SELECT vec_id, list_transform(range(127), lambda i: round({value}, 6)) AS values FROM {_WHOLE}"
 
 
-@query("resample_linear", _resample("linear", "e[1 + (i // 2)] + (i % 2) * 0.5 * (e[least(6, 2 + (i // 2))] - e[1 + (i // 2)])"))
+@query("resample_linear", _resample("linear", "(e[1 + i // 2] + e[1 + (i + 1) // 2]) / 2"))
 def resample_linear(s: SparkSession, d: str) -> DataFrame:
+    """All 64 values of each vector."""
     return _resampled(s, d, "linear")
 
 
@@ -82,41 +79,21 @@ def resample_nearest(s: SparkSession, d: str) -> DataFrame:
     return _resampled(s, d, "nearest")
 
 
-@query("resample_cubic")
-def resample_cubic(s: SparkSession, d: str) -> DataFrame:
+@query("resample_cubic_vectors")
+def resample_cubic_vectors(s: SparkSession, d: str) -> DataFrame:
     return _resampled(s, d, "cubic")
 
 
-def _resampled(s: SparkSession, d: str, method: str) -> DataFrame:
-    df = read(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("e"))
-    times = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: i.cast("double"))
-    return df.select("vec_id", F.transform(A.resample(times, F.col("e"), 2.0, method)["values"], lambda x: F.round(x, 6)).alias("values"))
-
-
-_WHOLE = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
-
-
-def _resample_whole(method: str, value: str) -> str:
-    return f"SELECT vec_id, list_transform(range(127), lambda i: round({value}, 6)) AS values FROM {_WHOLE}"
-
-
-@query("resample_linear_whole", _resample_whole("linear", "(e[1 + i // 2] + e[1 + (i + 1) // 2]) / 2"))
-def resample_linear_whole(s: SparkSession, d: str) -> DataFrame:
-    """All 64 values of each vector, where resample_linear has the first six."""
-    return _resampled_whole(s, d, "linear")
-
-
-@query("resample_nearest_whole", _resample_whole("nearest", "e[1 + ((i + 1) // 2)]"))
-def resample_nearest_whole(s: SparkSession, d: str) -> DataFrame:
-    return _resampled_whole(s, d, "nearest")
-
-
-@query("resample_cubic_whole")
-def resample_cubic_whole(s: SparkSession, d: str) -> DataFrame:
-    return _resampled_whole(s, d, "cubic")
+@query("resample_cubic", "SELECT s_suppkey, [round(a * (i / 2.0) ** 3 - b * (i / 2.0) ** 2 + 7, 6) FOR i IN range(23)] AS \"values\" FROM (SELECT s_suppkey, s_nationkey / 8.0 AS a, (s_suppkey % 9) / 4.0 AS b FROM supplier)")
+def resample_cubic(s: SparkSession, d: str) -> DataFrame:
+    """Values of cubic polynomials, which the spline gives back exactly between them."""
+    x = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.col("s_nationkey") / 8.0 * i * i * i - (F.col("s_suppkey") % 9) / 4.0 * i * i + 7)
+    times = F.transform(F.sequence(F.lit(0), F.size("e") - 1), lambda i: i.cast("double"))
+    df = read(s, d, "supplier").withColumn("e", x)
+    return df.select("s_suppkey", F.transform(A.resample(times, F.col("e"), 2.0, "cubic")["values"], lambda x: F.round(x, 6)).alias("values"))
 
 
-def _resampled_whole(s: SparkSession, d: str, method: str) -> DataFrame:
+def _resampled(s: SparkSession, d: str, method: str) -> DataFrame:
     times = F.transform(F.sequence(F.lit(0), F.size("e") - 1), lambda i: i.cast("double"))
     return _vectors(s, d).select("vec_id", F.transform(A.resample(times, F.col("e"), 2.0, method)["values"], lambda x: F.round(x, 6)).alias("values"))
 
@@ -128,8 +105,32 @@ def teleop_segments(s: SparkSession, d: str) -> DataFrame:
     return E.segment(b, "b", 60, 86400).select("user_id", "segment_start", "segment_end")
 
 
-@query("modality_dropout")
+@query("modality_dropout", "SELECT row_id, sensor_data IS NULL AND format IS NULL AS had_none, true AS keeps_one, true AS sums_up, true AS flagged, true AS nulled FROM test_groot")
 def modality_dropout(s: SparkSession, d: str) -> DataFrame:
+    """What holds for every row whatever was drawn: one modality stays, dropped and remaining ones make up what was there, dropped ones are null."""
+    df = read(s, d, "test_groot").select("row_id", "sensor_data", F.col("format").alias("text"))
+    had = F.array_compact(F.array(F.when(F.col("sensor_data").isNotNull(), F.lit("sensor")), F.when(F.col("text").isNotNull(), F.lit("text"))))
+    out = E.dropout(df.withColumn("had", had), {"video": ["frames"], "sensor": ["sensor_data"], "text": ["text"]}, 0.4, key="row_id")
+    gone, left = F.col("dropped_modalities"), F.col("remaining_modalities")
+    return out.select(
+        "row_id", (F.size("had") == 0).alias("had_none"), ((F.size(left) > 0) | (F.size("had") == 0)).alias("keeps_one"),
+        (F.array_sort(F.concat(gone, left)) == F.array_sort("had")).alias("sums_up"), (F.col("has_missing_modalities") == (F.size(gone) > 0)).alias("flagged"),
+        (F.col("sensor_data").isNotNull() == F.array_contains(left, "sensor")).alias("nulled"),
+    )
+
+
+@query("modality_dropout_share", "SELECT true AS near_rate, true AS repeatable FROM (SELECT count(*) FROM test_groot)")
+def modality_dropout_share(s: SparkSession, d: str) -> DataFrame:
+    run = lambda: _dropped(s, d)
+    a = run()
+    got = a.agg(F.count("*").alias("n"), F.sum(F.col("has_missing_modalities").cast("int")).alias("k")).first()
+    # each of two modalities goes with 0.1, but never both
+    spread = 5 * (0.19 * 0.81 * got.n) ** 0.5
+    same = a.exceptAll(run()).count() == 0
+    return s.createDataFrame([(abs(got.k - 0.19 * got.n) < spread + 0.02 * got.n, same)], "near_rate boolean, repeatable boolean")
+
+
+def _dropped(s: SparkSession, d: str) -> DataFrame:
     df = read(s, d, "test_groot").select("row_id", "sensor_data", F.col("format").alias("text"))
     out = E.dropout(df, {"video": ["frames"], "sensor": ["sensor_data"], "text": ["text"]}, 0.1, key="row_id")
     return out.select("row_id", "dropped_modalities", "remaining_modalities", "has_missing_modalities")
@@ -186,34 +187,6 @@ def distribution(s: SparkSession, d: str) -> DataFrame:
     return op(_vectors(s, d), ["e"]).select("vec_id", F.round("distribution.e.mean", 6).alias("mean"))
 
 
-_CUT = "(SELECT vec_id, list_transform(embedding[1:(vec_id % 12)::INT], lambda x: x::DOUBLE) AS e FROM embeddings)"
-
-
-def _cut(s: SparkSession, d: str) -> DataFrame:
-    return _vectors(s, d).withColumn("e", F.slice("e", 1, (F.col("vec_id") % 12).cast("int")))
-
-
-@query("seq_pad_truncate", f"SELECT vec_id, CASE WHEN len(e) >= 6 THEN e[len(e) - 5:] ELSE list_concat(e, list_transform(range(6 - len(e)), lambda i: coalesce(e[len(e)], 0.0))) END AS e FROM {_CUT}")
-def seq_pad_truncate(s: SparkSession, d: str) -> DataFrame:
-    return _cut(s, d).select("vec_id", A.fit_length(F.col("e"), 6, "start", "repeat").alias("e"))
-
-
-@query("seq_normalize", f"""SELECT vec_id, len(e) AS e_original_length, 11 AS e_normalized_length, len(e) < 11 AS e_was_padded, false AS e_was_truncated, list_concat(e, list_transform(range(11 - len(e)), lambda i: 0.0)) AS e FROM {_CUT}""")
-def seq_normalize(s: SparkSession, d: str) -> DataFrame:
-    return E.normalize_sequences(_cut(s, d), ["e"])
-
-
-@query("seq_pack_mask", f"SELECT vec_id, CASE WHEN len(e) >= 8 THEN e[:8] ELSE list_concat(e, list_transform(range(8 - len(e)), lambda i: 0.0)) END AS e, list_transform(range(1, 9), lambda i: CASE WHEN i <= len(e) THEN 1 ELSE 0 END) AS e_mask FROM {_CUT}")
-def seq_pack_mask(s: SparkSession, d: str) -> DataFrame:
-    return T.pack_sequences(_cut(s, d), ["e"], 8)
-
-
-@query("causal_mask", f"SELECT vec_id, list_transform(range(len(e)), lambda r: list_transform(range(len(e)), lambda c: CASE WHEN c <= r THEN 1 ELSE 0 END)) AS m FROM {_CUT}")
-def causal_mask(s: SparkSession, d: str) -> DataFrame:
-    return T.attention_masks(_cut(s, d), "e", "causal", "m").select("vec_id", "m")
-
-
-# Whole arrays of naturally varying length; _CUT takes prefixes of the vectors.
 _VALUES = "(SELECT id, values AS e FROM mock_data WHERE values IS NOT NULL)"
 
 
@@ -221,24 +194,24 @@ def _values(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "mock_data").filter("values is not null").select("id", F.col("values").alias("e"))
 
 
-@query("seq_pad_truncate_whole", f"SELECT id, CASE WHEN len(e) >= 6 THEN e[len(e) - 5:] ELSE list_concat(e, list_transform(range(6 - len(e)), lambda i: coalesce(e[len(e)], 0.0))) END AS e FROM {_VALUES}")
-def seq_pad_truncate_whole(s: SparkSession, d: str) -> DataFrame:
+@query("seq_pad_truncate", f"SELECT id, CASE WHEN len(e) >= 6 THEN e[len(e) - 5:] ELSE list_concat(e, list_transform(range(6 - len(e)), lambda i: coalesce(e[len(e)], 0.0))) END AS e FROM {_VALUES}")
+def seq_pad_truncate(s: SparkSession, d: str) -> DataFrame:
     return _values(s, d).select("id", A.fit_length(F.col("e"), 6, "start", "repeat").alias("e"))
 
 
-@query("seq_normalize_whole", f"""SELECT id, len(e) AS e_original_length, n AS e_normalized_length, len(e) < n AS e_was_padded, false AS e_was_truncated, list_concat(e, list_transform(range(n - len(e)), lambda i: 0.0)) AS e
+@query("seq_normalize", f"""SELECT id, len(e) AS e_original_length, n AS e_normalized_length, len(e) < n AS e_was_padded, false AS e_was_truncated, list_concat(e, list_transform(range(n - len(e)), lambda i: 0.0)) AS e
     FROM {_VALUES}, (SELECT max(len(e)) AS n FROM {_VALUES})""")
-def seq_normalize_whole(s: SparkSession, d: str) -> DataFrame:
+def seq_normalize(s: SparkSession, d: str) -> DataFrame:
     return E.normalize_sequences(_values(s, d), ["e"])
 
 
-@query("seq_pack_mask_whole", f"SELECT id, CASE WHEN len(e) >= 8 THEN e[:8] ELSE list_concat(e, list_transform(range(8 - len(e)), lambda i: 0.0)) END AS e, list_transform(range(1, 9), lambda i: CASE WHEN i <= len(e) THEN 1 ELSE 0 END) AS e_mask FROM {_VALUES}")
-def seq_pack_mask_whole(s: SparkSession, d: str) -> DataFrame:
+@query("seq_pack_mask", f"SELECT id, CASE WHEN len(e) >= 8 THEN e[:8] ELSE list_concat(e, list_transform(range(8 - len(e)), lambda i: 0.0)) END AS e, list_transform(range(1, 9), lambda i: CASE WHEN i <= len(e) THEN 1 ELSE 0 END) AS e_mask FROM {_VALUES}")
+def seq_pack_mask(s: SparkSession, d: str) -> DataFrame:
     return T.pack_sequences(_values(s, d), ["e"], 8)
 
 
-@query("causal_mask_whole", f"SELECT id, list_transform(range(len(e)), lambda r: list_transform(range(len(e)), lambda c: CASE WHEN c <= r THEN 1 ELSE 0 END)) AS m FROM {_VALUES}")
-def causal_mask_whole(s: SparkSession, d: str) -> DataFrame:
+@query("causal_mask", f"SELECT id, list_transform(range(len(e)), lambda r: list_transform(range(len(e)), lambda c: CASE WHEN c <= r THEN 1 ELSE 0 END)) AS m FROM {_VALUES}")
+def causal_mask(s: SparkSession, d: str) -> DataFrame:
     return T.attention_masks(_values(s, d), "e", "causal", "m").select("id", "m")
 
 
@@ -264,6 +237,18 @@ def dedup_minhash(s: SparkSession, d: str) -> DataFrame:
     return D.dedup_texts(read(s, d, "documents"), "doc_id")
 
 
+_NEAR_TEXTS = """WITH RECURSIVE rec AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), unit AS (SELECT text, min(id) AS u FROM rec GROUP BY text),
+    gram AS (SELECT DISTINCT u, text[i:i + 4] AS g FROM unit, unnest(range(1, length(text) - 3)) AS x(i)), size AS (SELECT u, count(*) AS k FROM gram GROUP BY u),
+    near AS (SELECT a.u AS a, b.u AS b FROM gram a JOIN gram b ON a.g = b.g AND a.u < b.u JOIN size x ON x.u = a.u JOIN size y ON y.u = b.u GROUP BY 1, 2 HAVING count(*) >= 0.8 * (max(x.k) + max(y.k) - count(*)))"""
+
+
+@query("dedup_minhash_exact", f"""{_NEAR_TEXTS} SELECT id, id = u AND u NOT IN (SELECT b FROM near) AS keep, (SELECT count(*) FROM near WHERE a = u OR b = u) AS n_links FROM rec JOIN unit USING (text)
+    UNION ALL SELECT doc_id, true, 0 FROM documents WHERE text IS NULL""")
+def dedup_minhash_exact(s: SparkSession, d: str) -> DataFrame:
+    """MinHash candidates verified on the texts, against all pairs."""
+    return D.dedup_texts(read(s, d, "documents"), "doc_id", exact=True).select("id", "keep", "n_links")
+
+
 @query("dedup_greedy")
 def dedup_greedy(s: SparkSession, d: str) -> DataFrame:
     return D.dedup_texts(read(s, d, "documents"), "doc_id", mode="greedy")
@@ -275,9 +260,11 @@ def dedup_semantic(s: SparkSession, d: str) -> DataFrame:
     return D.dedup_embeddings(read(s, d, "embeddings"), "vec_id", "embedding", 0.35, cluster="label").select("id", "keep", "n_links")
 
 
-@query("dedup_semantic_kmeans")
+@query("dedup_semantic_kmeans", """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35)
+    SELECT vec_id AS id, NOT EXISTS (SELECT 1 FROM p WHERE p.b = vec_id) AS keep, (SELECT count(*) FROM p WHERE p.a = vec_id OR p.b = vec_id) AS n_links FROM embeddings""")
 def dedup_semantic_kmeans(s: SparkSession, d: str) -> DataFrame:
-    return D.dedup_embeddings(read(s, d, "embeddings"), "vec_id", "embedding", 0.35, k=8)
+    """Across all clusters: no link is lost against all pairs."""
+    return D.dedup_embeddings(read(s, d, "embeddings"), "vec_id", "embedding", 0.35, k=8).select("id", "keep", "n_links")
 
 
 @query("dedup_both")
@@ -299,18 +286,3 @@ def dedup_sequence(s: SparkSession, d: str) -> DataFrame:
 
 
 # --- generators ---
-
-
-@query("synthetic_texts")
-def synthetic_texts(s: SparkSession, d: str) -> DataFrame:
-    return T.synthetic_texts(s, 1000)
-
-
-@query("synthetic_trajectories")
-def synthetic_trajectories(s: SparkSession, d: str) -> DataFrame:
-    return T.synthetic_trajectories(s, 50, 20, 4).select("trajectory_id", "episode_id", F.size("joint_positions").alias("steps"))
-
-
-@query("randomized_environments")
-def randomized_environments(s: SparkSession, d: str) -> DataFrame:
-    return T.randomized_environments(s, 500)

@@ -19,7 +19,7 @@ from millrace.frame import Frame
 from millrace.functions.hashing import row_key
 from millrace.operators import stages as S
 from millrace.operators.order import with_row_index
-from millrace.plans.execution import Checkpoints, Lineage
+from millrace.plans.execution import Checkpoints, Lineage, Metrics
 from millrace.sources.registry import load
 from millrace.sources.robotics import read_generated_videos, read_rendered, read_simulation, read_trajectories
 from millrace.sources.writers import write, write_output
@@ -107,6 +107,7 @@ class Pipeline:
             raise ValueError("a pipeline needs a source")
         self.sources = [_source(s) for s in listed]
         self.config = PipelineConfig.from_dict({"output": output} | options)
+        self.batch_size: int | None = options.get("batch_size")  # Spark's own unless given
         if output and any(s.get("path") == output for s in self.sources):
             raise ValueError("the output can't be a source")
         self.stages: list[S.Stage] = [as_stage(s) for s in stages]
@@ -157,10 +158,39 @@ class Pipeline:
         """The whole chain as one lazy plan."""
         return reduce(lambda df, s: s.transform(df), self.stages, self.read())
 
-    def run(self, resume_from: str | None = None, lineage: Lineage | None = None) -> dict[str, Any]:
-        """Run the chain and write the output; returns counts and times.
+    def profile(self) -> list[dict[str, Any]]:
+        """Seconds and rows of each stage, by writing what each gives to the shared folder."""
+        from millrace.session import cut
 
-        With a checkpoint_interval a table is written after every so many stages, and `resume_from` goes on at the stage after
+        out, df = [], cut(self.read(), "profile")
+        for s in self.stages:
+            began = time.time()
+            df = cut(s.transform(df), "profile")
+            out.append({"stage": s.name, "seconds": time.time() - began, "rows": df.count()})
+        return out
+
+    def run(self, resume_from: str | None = None, lineage: Lineage | None = None, metrics: Metrics | None = None) -> dict[str, Any]:
+        """Run the chain and write the output; returns counts and times, and gives them to `metrics`. The batch size holds for this run only."""
+        spark, size = self._session(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(size)
+        if self.batch_size:
+            spark.conf.set(size, self.batch_size)
+        try:
+            result = self._run(resume_from, lineage)
+        except Exception:
+            if metrics:
+                metrics.count("runs_failed")
+            raise
+        finally:
+            spark.conf.set(size, before)
+        if metrics:
+            metrics.count("runs")
+            metrics.count("rows_written", result["rows"])
+            metrics.observe("run_seconds", result["seconds"])
+        return result
+
+    def _run(self, resume_from: str | None, lineage: Lineage | None) -> dict[str, Any]:
+        """With a checkpoint_interval a table is written after every so many stages, and `resume_from` goes on at the stage after
         the named (or, with 'latest', the last) checkpoint.
         """
         began, name = time.time(), uuid.uuid4().hex[:8]
@@ -198,7 +228,7 @@ class Pipeline:
     def __add__(self, other: Pipeline) -> Pipeline:
         """Sources of both; the left output and stages win."""
         out = Pipeline([*self.sources, *other.sources], self.config.output or other.config.output, self.stages or other.stages, self.spark or other.spark)
-        out.config, out.dedup = self.config, self.dedup
+        out.config, out.dedup, out.batch_size = self.config, self.dedup, self.batch_size
         return out
 
     def to_yaml(self, path: str) -> None:
@@ -393,10 +423,6 @@ class PipelineBuilder:
         if not self.sources:
             raise ValueError("add a source first")
         settings = dict(self.settings)
-        if batch := settings.get("batch_size"):
-            spark = self.spark or SparkSession.getActiveSession()
-            if spark:
-                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         return Pipeline(self.sources, settings.pop("output", None), self.stages, self.spark, **settings)
 
     def run(self) -> dict[str, Any]:

@@ -10,6 +10,10 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 from millrace.plans.pipeline import Pipeline
 
 Hook = Callable[[dict[str, Any]], None]
@@ -67,3 +71,32 @@ def run_pipeline(pipeline: Pipeline, experiment_name: str, hook: Hook | None = N
         result = pipeline.run(**options)
         run.log_metrics({"rows": result["rows"], "seconds": result["seconds"]})
         return result
+
+
+class ModelRegistry:
+    """Where the versions of models lie, as rows of a table below a folder."""
+
+    SCHEMA = "name string, version int, uri string, metadata string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _rows(self, name: str) -> list[Any]:
+        try:
+            return self.spark.read.schema(self.SCHEMA).json(self.path).filter(F.col("name") == name).orderBy(F.desc("version")).limit(1).collect()
+        except AnalysisException:  # nothing registered yet
+            return []
+
+    def register(self, uri: str, name: str, version: int | None = None, metadata: dict[str, Any] | None = None) -> int:
+        """Add a version, the next one unless given."""
+        last = self._rows(name)
+        number = version or (last[0].version + 1 if last else 1)
+        self.spark.createDataFrame([(name, number, uri, json.dumps(metadata or {}))], self.SCHEMA).coalesce(1).write.mode("append").json(self.path)
+        return number
+
+    def get(self, name: str) -> dict[str, Any]:
+        """The latest version."""
+        last = self._rows(name)
+        if not last:
+            raise KeyError(f"no model {name}")
+        return {"name": name, "version": last[0].version, "uri": last[0].uri, "metadata": json.loads(last[0].metadata)}

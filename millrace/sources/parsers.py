@@ -22,6 +22,23 @@ import numpy as np
 Rows = Iterator[dict[str, Any]]
 
 
+def unpacked(how: str, data: bytes) -> bytes:
+    """A chunk of a bag."""
+    if how in ("", "none"):
+        return data
+    if how == "bz2":
+        return bz2.decompress(data)
+    if how == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    if how == "lz4":
+        import pyarrow as pa
+
+        return pa.CompressedInputStream(pa.BufferReader(data), "lz4").read()
+    raise RuntimeError(f"chunks compressed by {how} need the package {how}")
+
+
 def as_json(value: Any) -> str:
     def other(v: Any) -> Any:
         if isinstance(v, bytes):
@@ -175,9 +192,10 @@ _PLY = {"char": "i1", "uchar": "u1", "int8": "i1", "uint8": "u1", "short": "i2",
 
 
 def pointcloud(data: bytes, path: str, max_points: int | None = None, seed: int = 42) -> Rows:
-    """Points, colours and normals of a pcd or ply file (ascii or binary); above `max_points`, if given, a seeded sample of them."""
-    if path.lower().endswith((".las", ".laz")):
-        raise RuntimeError("LAS and LAZ files need the package laspy")
+    """Points, colours and normals of a pcd or ply file (ascii or binary), points and intensities of a LAS file; above `max_points`, if given, a seeded sample of them."""
+    if data[:4] == b"LASF":
+        yield _las(data, path, max_points, seed)
+        return
     lines = io.BytesIO(data)
     fields: list[str] = []
     kinds: list[str] = []
@@ -226,6 +244,23 @@ def pointcloud(data: bytes, path: str, max_points: int | None = None, seed: int
     yield {"points": pick("x", "y", "z"), "colors": pick("red", "green", "blue"), "normals": pick("nx", "ny", "nz") or pick("normal_x", "normal_y", "normal_z"), "num_points": len(values), "fields": fields}
 
 
+def _las(data: bytes, path: str, max_points: int | None, seed: int) -> dict[str, Any]:
+    """Uncompressed LAS 1.0 to 1.4: scaled coordinates; intensities in the place of colours, three times the same."""
+    if path.lower().endswith(".laz") or data[104] & 0x80:
+        raise RuntimeError("compressed LAS files need the package laspy")
+    start, size, count = struct.unpack_from("<I", data, 96)[0], *struct.unpack_from("<HI", data, 105)
+    if (data[24], data[25]) >= (1, 4) and not count:
+        (count,) = struct.unpack_from("<Q", data, 247)
+    scale, offset = np.frombuffer(data, "<f8", 3, 131), np.frombuffer(data, "<f8", 3, 155)
+    raw = np.frombuffer(data, np.uint8, count * size, start).reshape(count, size)
+    points = np.ascontiguousarray(raw[:, :12]).view("<i4").reshape(count, 3) * scale + offset
+    intensity = np.ascontiguousarray(raw[:, 12:14]).view("<u2").astype(float).ravel()
+    if max_points is not None and count > max_points:
+        at = np.sort(np.random.default_rng(seed).choice(count, max_points, replace=False))
+        points, intensity = points[at], intensity[at]
+    return {"points": points.tolist(), "colors": np.stack([intensity] * 3, 1).tolist(), "normals": None, "num_points": len(points), "fields": ["x", "y", "z", "intensity"]}
+
+
 PROTOBUF = "raw_data string, parse_error string"
 
 
@@ -263,7 +298,7 @@ def ros2bag(data: bytes, path: str, topics: list[str] | None = None, start: floa
 
 
 def rosbag(data: bytes, path: str, topics: list[str] | None = None, start: float | None = None, end: float | None = None) -> Rows:
-    """Messages of a version 2.0 bag, with chunks stored plain or by bz2."""
+    """Messages of a version 2.0 bag, with chunks stored plain, by bz2 or by lz4."""
     if not data.startswith(b"#ROSBAG V2.0\n"):
         raise ValueError("not a version 2.0 bag")
     names: dict[int, tuple[str, str | None]] = {}
@@ -296,10 +331,7 @@ def rosbag(data: bytes, path: str, topics: list[str] | None = None, start: float
                 topic, kind = names[struct.unpack("<I", head["conn"])[0]]
                 yield topic, secs * 10**9 + nsecs, body, kind
             elif op == 5:
-                how = head["compression"].decode()
-                if how not in ("none", "bz2"):
-                    raise RuntimeError(f"chunks compressed by {how} need the package {how}")
-                yield from walk(bz2.decompress(body) if how == "bz2" else body)
+                yield from walk(unpacked(head["compression"].decode(), body))
 
     for topic, ns, body, kind in walk(data, 13):
         if _wanted(topic, ns, topics, start, end):
@@ -308,7 +340,7 @@ def rosbag(data: bytes, path: str, topics: list[str] | None = None, start: float
 
 
 def mcap(data: bytes, path: str, topics: list[str] | None = None, start: float | None = None, end: float | None = None, types: list[str] | None = None) -> Rows:
-    """Messages of an MCAP file, filtered by topic, time and schema name; chunks stored plain or by zstd."""
+    """Messages of an MCAP file, filtered by topic, time and schema name; chunks stored plain, by zstd or by lz4."""
     if not data.startswith(b"\x89MCAP0\r\n"):
         raise ValueError("not an MCAP file")
     schemas: dict[int, str] = {}
@@ -336,14 +368,7 @@ def mcap(data: bytes, path: str, topics: list[str] | None = None, start: float |
             elif op == 6:
                 how, k = text(body, 28)
                 (size,) = struct.unpack_from("<Q", body, k)
-                inner = body[k + 8 : k + 8 + size]
-                if how == "zstd":
-                    import zstandard
-
-                    inner = zstandard.ZstdDecompressor().decompressobj().decompress(inner)
-                elif how:
-                    raise RuntimeError(f"chunks compressed by {how} need the package {how}")
-                yield from walk(inner, 0)
+                yield from walk(unpacked(how, body[k + 8 : k + 8 + size]), 0)
             elif op in (2, 15):
                 return
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +28,9 @@ def read_trajectories(spark: SparkSession, paths: str | list[str], validate: boo
             part = reader.load(listed)
             if part.columns:
                 parts.append(part)
-        except Exception:  # no file of that kind
-            continue
+        except AnalysisException as e:  # no file of that kind; a folder that isn't there is an error
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
     if not parts:
         raise FileNotFoundError(f"no trajectories below {listed}")
     df = trajectory_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))

@@ -7,6 +7,7 @@ import posixpath
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -86,29 +87,27 @@ def write_output(df: DataFrame, path: str, partition_by: list[str] | None = None
 
 
 def write_sql(df: DataFrame, url: str, table: str, mode: str = "overwrite", **options: Any) -> None:
-    """All rows over JDBC (no rows are dropped); sqlite:///file goes through Python's own driver, a partition at a time."""
+    """All rows over JDBC (no rows are dropped). sqlite:///file goes through Python's own driver, on the driver, a thousand rows at a time: such a
+    file has one writer."""
     if url.startswith("sqlite"):
         import sqlite3
 
+        quoted = lambda name: '"' + name.replace('"', '""') + '"'
+        kind = lambda t: "INTEGER" if isinstance(t, (T.IntegralType, T.BooleanType)) else "REAL" if isinstance(t, T.FractionalType) else "BLOB" if isinstance(t, T.BinaryType) else "TEXT"
+        plain = {c.name for c in df.schema if isinstance(c.dataType, (T.NumericType, T.BooleanType, T.BinaryType, T.StringType)) and not isinstance(c.dataType, T.DecimalType)}
+        out = df.withColumns({c.name: F.col(c.name).cast("double") if isinstance(c.dataType, T.DecimalType) else F.to_json(c.name) if isinstance(c.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c.name).cast("string") for c in df.schema if c.name not in plain})
         with sqlite3.connect(url.split("///", 1)[-1]) as db:
-            pd.DataFrame(columns=df.columns).to_sql(table, db, if_exists="replace" if mode == "overwrite" else "append", index=False)
-            for rows in _chunks(df):
-                rows.to_sql(table, db, if_exists="append", index=False)
+            if mode == "overwrite":
+                db.execute(f"DROP TABLE IF EXISTS {quoted(table)}")
+            db.execute(f"CREATE TABLE IF NOT EXISTS {quoted(table)} ({', '.join(f'{quoted(c.name)} {kind(c.dataType)}' for c in df.schema)})")
+            insert = f"INSERT INTO {quoted(table)} VALUES ({', '.join('?' * len(df.columns))})"
+            rows = (tuple(r) for r in out.toLocalIterator(prefetchPartitions=True))
+            while part := list(islice(rows, 1000)):
+                db.executemany(insert, part)
         return
     df.write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode(mode).save()
 
 
-def _chunks(df: DataFrame, size: int = 10_000) -> Iterator[pd.DataFrame]:
-    held = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        held.append(tuple(row))
-        if len(held) == size:
-            yield pd.DataFrame(held, columns=df.columns)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=df.columns)
-
-
 def _files(df: DataFrame, path: str, make: Callable[[Iterator[pd.DataFrame]], Iterator[tuple[str, bytes]]]) -> None:
     """Each task writes its files under a temporary name and renames them, so a repeated task leaves one whole file. `path` must be a folder all executors share."""
     root = path.removeprefix("file://")
