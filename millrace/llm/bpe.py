@@ -8,12 +8,14 @@ stale and skipped. A pre-token of n bytes takes n pushes and pops, however long
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import posixpath
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import spread
@@ -135,6 +137,27 @@ def encoder(path: str, pattern: str = PATTERN) -> BytePairEncoder:
     return BytePairEncoder(path, pattern)
 
 
+def shipped(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Send a vocabulary file to the executors, so that only the driver needs it in its place; gives what tells its path there."""
+    spark.sparkContext.addFile(path)
+    name = posixpath.basename(path)
+    return lambda: SparkFiles.get(name)
+
+
+def decode_corpus(ids: DataFrame, id_col: str = "doc_id", vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """(`id_col`, text): the text of each row's ids; an empty text for an empty list. Unknown ids fail."""
+    path = shipped(ids.sparkSession, vocabulary)
+    kind = ids.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = encoder(path(), pattern).tokens
+        for b in batches:
+            texts = [b"".join([pieces[i] for i in row or ()]).decode("utf-8", "surrogatepass") for row in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return ids.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
+
+
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(`id_col`, ids): the token ids of each row's whole text, without special tokens.
 
@@ -143,9 +166,10 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text: str = "text", voc
     """
     rows = spread(df.select(F.col(id_col), F.col(text).cast("string").alias("text")), id_col)
     kind = rows.schema[0].dataType.simpleString()
+    path = shipped(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern).encode
+        encode = encoder(path(), pattern).encode
         for b in batches:
             ids = [encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
@@ -157,9 +181,10 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text: str = "text", voca
     """(`id_col`, n_tokens) of each row; 0 for an empty or null text."""
     rows = spread(df.select(F.col(id_col), F.col(text).cast("string").alias("text")), id_col)
     kind = rows.schema[0].dataType.simpleString()
+    path = shipped(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern).encode
+        encode = encoder(path(), pattern).encode
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t)) for t in b.column(1).to_pylist()], pa.int64())], names=[id_col, "n_tokens"])
 

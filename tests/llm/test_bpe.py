@@ -5,7 +5,7 @@ import random
 import pytest
 import tiktoken
 
-from millrace.llm.bpe import DEFAULT_VOCABULARY, PATTERN, BytePairEncoder, count_tokens, encode_corpus
+from millrace.llm.bpe import DEFAULT_VOCABULARY, PATTERN, BytePairEncoder, count_tokens, decode_corpus, encode_corpus
 
 pytestmark = pytest.mark.skipif(not os.path.exists(DEFAULT_VOCABULARY), reason="no vocabulary file")
 
@@ -50,3 +50,10 @@ def test_corpus(spark):
     assert len(got) == 6 and dict(got)[2] == [] and dict(got)[3] == [] and dict(got)[1] == [15496, 995]
     assert {r.doc_id: r.n_tokens for r in count_tokens(df).collect()}[1] == 2
     assert encode_corpus(df.limit(0)).count() == 0
+
+
+def test_decoding_gives_the_texts_back(spark):
+    texts = ["", None, "a  b\n\nc", "naïve 中文 🤖", "x" * 5000, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = dict(map(tuple, decode_corpus(encode_corpus(df)).collect()))
+    assert got == {i: t or "" for i, t in enumerate(texts)}
