@@ -310,11 +310,14 @@ class Frame:
         wanted = value if isinstance(value, dict) else {c: value for c in (_names([subset]) if subset else self.df.columns)}
         return Frame(self.df.withColumns({c: F.when(missing(self.df, c), F.lit(v)).otherwise(F.col(c)) for c, v in wanted.items() if c in self.df.columns and _holds(self.df.schema[c].dataType, v)}))
 
-    def fill_direction(self, method: str, order_by: str | list[str], columns: str | list[str] | None = None, partition_by: str | list[str] | None = None, split_hot: bool = False) -> Frame:
+    def fill_direction(self, method: str, order_by: str | list[str], columns: str | list[str] | None = None, partition_by: str | list[str] | None = None, split_hot: bool | None = None) -> Frame:
         """ffill/pad takes the last known value before, bfill/backfill the next after, in `order_by` order.
 
-        With `split_hot` partitions that hold a large part of the rows are spread over tasks (forward only); do so without partitions.
+        With `split_hot` partitions are spread over tasks; without a word it is done where one (or, without partitions, the table) has
+        more rows than `operators.order.HOT`.
         """
+        from millrace.operators.order import has_hot, running
+
         if method not in ("ffill", "pad", "bfill", "backfill"):
             raise ValueError(f"unknown method {method}")
         forward = method in ("ffill", "pad")
@@ -322,11 +325,11 @@ class Frame:
         w = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
         names = _names([columns]) if columns else [c for c in self.df.columns if c not in _names([order_by])]
         known = {c: F.when(~missing(self.df, c), F.col(c)) for c in names}
-        if split_hot and forward:
-            from millrace.operators.order import running
-
+        if split_hot is None:
+            split_hot = has_hot(self.df, _names([partition_by] if partition_by else []))
+        if split_hot:
             clean = self.df.withColumns(known)
-            filled = running(clean, _names([partition_by] if partition_by else []), _names([order_by]), {f"_f_{c}": ("last_known", c) for c in names})
+            filled = running(clean, _names([partition_by] if partition_by else []), _names([order_by]), {f"_f_{c}": ("last_known", c) for c in names}, backward=not forward)
             return Frame(filled.select(*[F.col(f"_f_{c}").alias(c) if c in names else F.col(c) for c in self.df.columns]))
         return Frame(self.df.withColumns({c: (F.last(v, ignorenulls=True) if forward else F.first(v, ignorenulls=True)).over(w) for c, v in known.items()}))
 

@@ -20,18 +20,30 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "row") -> Dat
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
-def running(df: DataFrame, by: list[str], order_by: list[str], columns: dict[str, tuple[str, str | None]]) -> DataFrame:
+#: Rows of one key above which a window by key is spread over tasks.
+HOT = 5_000_000
+
+
+def has_hot(df: DataFrame, by: list[str], rows: int | None = None) -> bool:
+    """Whether a key holds more than `rows` rows (without keys: whether the table does); counted with map-side combining."""
+    return (df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0) > (HOT if rows is None else rows)
+
+
+def running(df: DataFrame, by: list[str], order_by: list[str], columns: dict[str, tuple[str, str | None]], backward: bool = False) -> DataFrame:
     """Running values per key for keys of any size: name -> (kind, column).
 
     Kinds: row_number; sum; last_known, the last value that isn't null up to the row; lag, the value of the row before.
     Rows are range-partitioned by key and order, so a hot key is spread over many tasks. Each task works on its stretch;
     what a stretch hands on to the next one of its key is a summary of one row. Equals the window function of that name; ties are in no fixed order.
+    With `backward` rows are taken in the opposite order.
     """
     kinds = {k for k, _ in columns.values()}
     if not kinds <= {"row_number", "sum", "last_known", "lag"}:
         raise ValueError(f"unknown kinds {kinds}")
-    placed = cut(df.repartitionByRange(*by, *order_by).withColumn("_p", F.spark_partition_id()), "stretches")
-    w = Window.partitionBy("_p", *by).orderBy(*order_by)
+    order = [F.col(c).desc_nulls_last() if backward else F.col(c).asc_nulls_first() for c in order_by]
+    last_by = F.min_by if backward else F.max_by
+    placed = cut(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "stretches")
+    w = Window.partitionBy("_p", *by).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     local: dict[str, Column] = {"_first": F.row_number().over(w) == 1}
     ends, carried, final = [], [], {}
@@ -47,10 +59,10 @@ def running(df: DataFrame, by: list[str], order_by: list[str], columns: dict[str
             ends.append(F.sum(c).alias(f"_end{i}"))
         elif kind == "last_known":
             local[f"_own{i}"] = F.last(c, ignorenulls=True).over(upto)
-            ends.append(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_end{i}"))
+            ends.append(last_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_end{i}"))
         else:
             local[f"_own{i}"] = F.lag(c).over(w)
-            ends.append(F.max_by(F.struct(F.col(c).alias("v")), at).alias(f"_end{i}"))
+            ends.append(last_by(F.struct(F.col(c).alias("v")), at).alias(f"_end{i}"))
         end = F.col(f"_end{i}")
         carried.append((F.sum(end) if kind in ("row_number", "sum") else F.last(end, ignorenulls=True)).over(before).alias(f"_carry{i}"))
         if kind == "row_number":
@@ -69,18 +81,20 @@ def running(df: DataFrame, by: list[str], order_by: list[str], columns: dict[str
     return placed.withColumns(local).join(summary, same).select(*df.columns, *[c.alias(k) for k, c in final.items()])
 
 
-def asof_join(left: DataFrame, right: DataFrame, time: str, by: list[str], values: list[str], right_time: str | None = None, tolerance: Column | None = None, split_hot: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, time: str, by: list[str], values: list[str], right_time: str | None = None, tolerance: Column | None = None, split_hot: bool | None = None) -> DataFrame:
     """For each left row the values of the last right row of the same `by` at or before its time; null if there is none.
 
     One shuffle: both sides are put in one timeline and the last known values are carried forward. At equal times the
     right row counts as before; among right rows of one time the one with the greatest values counts. With `split_hot` keys
-    that hold a large part of the rows are spread over tasks.
+    are spread over tasks; without a word it is done where a key has more rows than HOT, for which both sides are counted.
     """
     rt = right_time or time
     l = left.withColumns({"_side": F.lit(1), "_t": F.col(time), "_left": F.struct(*left.columns), "_v": F.lit(None)})
     pick = F.struct(F.col(rt).alias("_rt"), *values)
     r = right.select(*by, F.lit(0).alias("_side"), F.col(rt).alias("_t"), pick.alias("_v"))
     both = l.select(*by, "_side", "_t", "_left").unionByName(r, allowMissingColumns=True)
+    if split_hot is None:
+        split_hot = has_hot(left.select(*by).unionByName(right.select(*by)), by)
     if split_hot:
         out = running(both, by, ["_t", "_side", "_v"], {"_last": ("last_known", "_v")}).filter("_side = 1")
     else:

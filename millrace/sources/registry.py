@@ -6,6 +6,7 @@ import posixpath
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -109,10 +110,24 @@ def _native(spark: SparkSession, paths: list[str], format: str, **options: Any)
     return reader.format(format).load(paths)
 
 
+def content_of(path: str) -> bytes:
+    """The bytes of a file by its path or address."""
+    if path.startswith("file:") or "://" not in path:
+        plain = unquote(path.removeprefix("file:")) if path.startswith("file:") else path
+        with open("/" + plain.lstrip("/"), "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(name) as f:
+        return f.read()
+
+
 def decode(spark: SparkSession, paths: list[str], parser: Callable[..., P.Rows], schema: str, on_error: str = "raise", path_glob: str | None = None, **options: Any) -> DataFrame:
     """Rows that `parser` makes of each file, with the file's path. on_error='column' gives a row with the message for a file that fails.
 
-    Files are listed and read by Spark, from any file system it knows; each file is read by one task.
+    Files are listed by Spark; a task opens its files one after another where they lie (local or mounted folders, or what pyarrow
+    has a file system for), so it holds one at a time, and a file may be larger than a value of a column can be.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if path_glob:
@@ -122,10 +137,10 @@ def decode(spark: SparkSession, paths: list[str], parser: Callable[..., P.Rows],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path in batch.column(0).to_pylist():
                 held: list[dict] = []
                 try:
-                    for row in parser(content, path, **options):
+                    for row in parser(content_of(path), path, **options):
                         held.append({"path": path, **row})
                         if len(held) == 1000:
                             yield pa.RecordBatch.from_pylist(held, schema=wanted)
@@ -137,7 +152,7 @@ def decode(spark: SparkSession, paths: list[str], parser: Callable[..., P.Rows],
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=wanted)
 
-    return files.load(paths).select("path", "content").mapInArrow(run, full)
+    return files.load(paths).select("path").mapInArrow(run, full)
 
 
 def read_paths(spark: SparkSession, paths: str | list[str], format: str | None = None, skip_errors: bool = False, **options: Any) -> DataFrame:

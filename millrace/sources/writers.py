@@ -109,18 +109,20 @@ def write_sql(df: DataFrame, url: str, table: str, mode: str = "overwrite", **op
 
 
 def _files(df: DataFrame, path: str, make: Callable[[Iterator[pd.DataFrame]], Iterator[tuple[str, bytes]]]) -> None:
-    """Each task writes its files under a temporary name and renames them, so a repeated task leaves one whole file. `path` must be a folder all executors share."""
-    root = path.removeprefix("file://")
+    """Each task writes its files under a temporary name and moves them, so a repeated task leaves one whole file. `path` must be a folder all
+    executors share: a mounted one, or what pyarrow has a file system for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(root, exist_ok=True)
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
+        system.create_dir(root, recursive=True)
         n = 0
         for name, data in make(batches):
-            target = os.path.join(root, name)
-            part = f"{target}.{TaskContext.get().taskAttemptId()}.part"
-            with open(part, "wb") as f:
+            part = f"{root}/{name}.{TaskContext.get().taskAttemptId()}.part"
+            with system.open_output_stream(part) as f:
                 f.write(data)
-            os.replace(part, target)
+            system.move(part, f"{root}/{name}")
             n += 1
         yield pd.DataFrame({"n": [n]})
 

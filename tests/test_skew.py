@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.frame import Frame
 from millrace.operators.components import bipartite_components
+from millrace.operators.order import has_hot
 from millrace.operators.skew import heavy_keys, salted_join
 
 
@@ -52,3 +54,19 @@ def test_groups_with_a_hot_entity_a_hot_node_and_a_long_chain(spark, chunk):
     df = spark.createDataFrame(links + [(None, 1), (7, None)], "rec bigint, ent bigint").selectExpr("*", "1 as m", "2 as `to`")
     got = {r["rec"]: r["first"] for r in bipartite_components(df, chunk=chunk).collect()}
     assert got == find(links)
+
+
+@pytest.mark.parametrize("method", ["ffill", "bfill"])
+@pytest.mark.parametrize("by", [None, "k"])
+def test_fills_of_hot_partitions_equal_those_of_windows(spark, method, by):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([0, 0, 0, 1, 2, None]), rng.choice([None, None, float(i)])) for i in range(400)]
+    f = Frame(spark.createDataFrame(rows, "t bigint, k int, v double").repartition(5))
+    plain = f.fill_direction(method, "t", ["v"], by, split_hot=False).df
+    spread = f.fill_direction(method, "t", ["v"], by, split_hot=True).df
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, spread.collect()))
+
+
+def test_hot_keys_are_found(spark):
+    df = spark.createDataFrame([(0,)] * 9 + [(1,)], "k int")
+    assert has_hot(df, ["k"], 8) and not has_hot(df, ["k"], 9) and has_hot(df, [], 9) and not has_hot(df.limit(0), [], 0)
