@@ -35,7 +35,7 @@ CELL = 20_000
 #: Hot grams that are sent to all tasks at once; if there are more, the grams are taken in as many passes as needed.
 HOT_SENT = 500_000
 #: Postings of one block, and pairs of nodes held at once.
-BLOCK_POSTINGS, WALK = 1_000_000, 1_000_000
+BLOCK_POSTINGS, WALK = 1_000_000, 300_000
 SLOTS = 64  # finest bands, and most of them
 RARE, RAREST = 255, 0.2  # the rarest grams, which make most prefixes, are a band of their own
 GRAM_BITS = 0.48  # least bits of the words for each gram
