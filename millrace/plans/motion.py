@@ -237,16 +237,16 @@ def dedup_minhash(s: SparkSession, d: str) -> DataFrame:
     return D.dedup_texts(read(s, d, "documents"), "doc_id")
 
 
-_NEAR_TEXTS = """WITH RECURSIVE rec AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), unit AS (SELECT text, min(id) AS u FROM rec GROUP BY text),
+_NEAR_TEXTS = """WITH RECURSIVE rec AS (SELECT id, text FROM mock_data WHERE text IS NOT NULL), unit AS (SELECT text, min(id) AS u FROM rec GROUP BY text),
     gram AS (SELECT DISTINCT u, text[i:i + 4] AS g FROM unit, unnest(range(1, length(text) - 3)) AS x(i)), size AS (SELECT u, count(*) AS k FROM gram GROUP BY u),
     near AS (SELECT a.u AS a, b.u AS b FROM gram a JOIN gram b ON a.g = b.g AND a.u < b.u JOIN size x ON x.u = a.u JOIN size y ON y.u = b.u GROUP BY 1, 2 HAVING count(*) >= 0.8 * (max(x.k) + max(y.k) - count(*)))"""
 
 
 @query("dedup_minhash_exact", f"""{_NEAR_TEXTS} SELECT id, id = u AND u NOT IN (SELECT b FROM near) AS keep, (SELECT count(*) FROM near WHERE a = u OR b = u) AS n_links FROM rec JOIN unit USING (text)
-    UNION ALL SELECT doc_id, true, 0 FROM documents WHERE text IS NULL""")
+    UNION ALL SELECT id, true, 0 FROM mock_data WHERE text IS NULL""")
 def dedup_minhash_exact(s: SparkSession, d: str) -> DataFrame:
     """MinHash candidates verified on the texts, against all pairs."""
-    return D.dedup_texts(read(s, d, "documents"), "doc_id", exact=True).select("id", "keep", "n_links")
+    return D.dedup_texts(read(s, d, "mock_data"), "id", exact=True).select("id", "keep", "n_links")
 
 
 @query("dedup_greedy")
