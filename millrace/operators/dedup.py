@@ -22,16 +22,15 @@ MODES = ("any_earlier", "greedy", "components")
 HASHES, BANDS, GRAM = 100, 20, 5
 CELL = 2_000
 LEAST = 50
-_PRIME = np.uint64((1 << 31) - 1)
 
 
 def _coefficients(hashes: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, int(_PRIME), hashes).astype(np.uint64)[:, None], rng.integers(0, int(_PRIME), hashes).astype(np.uint64)[:, None]
+    return (rng.integers(0, 1 << 31, hashes) * 2 + 1).astype(np.uint32)[:, None], rng.integers(0, 1 << 32, hashes).astype(np.uint32)[:, None]
 
 
 def minhash(text: str | None, hashes: int = HASHES, gram: int = GRAM) -> np.ndarray | None:
-    """Least values of `hashes` hash functions over the distinct character grams; None for texts shorter than the gram."""
+    """Least values of `hashes` hash functions (multiply and add in 32 bits) over the distinct character grams; None for texts shorter than the gram."""
     if text is None:
         return None
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -42,12 +41,12 @@ def minhash(text: str | None, hashes: int = HASHES, gram: int = GRAM) -> np.ndar
     for k in range(gram):
         h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + m] + np.uint64(1)
     h ^= h >> np.uint64(31)
-    h = np.unique((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(34))
+    h = np.unique((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
     a, b = _coefficients(hashes)
-    least = np.full(hashes, _PRIME, np.uint64)
+    least = np.full(hashes, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(h), 4096):
-        least = np.minimum(least, ((a * h[at : at + 4096] + b) % _PRIME).min(axis=1))
-    return least.astype(np.int32)
+        least = np.minimum(least, (a * h[at : at + 4096] + b).min(axis=1))
+    return (least >> np.uint32(1)).astype(np.int32)
 
 
 def signatures(texts: DataFrame, id_col: str, text: str, hashes: int = HASHES) -> DataFrame:
@@ -74,7 +73,29 @@ def pairs_in_buckets(members: DataFrame, keys: list[str], id_col: str, vector: s
     own = F.pmod(F.xxhash64(F.lit("cell"), id_col), "_k").cast("int")
     rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     rows = rows.select(*keys, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") <= F.col("_other")).alias("_low"), F.col(id_col).alias("id"), F.col(vector).alias("vector"))
-    return rows.groupBy(*keys, "_i", "_j").applyInArrow(_compare(score, least), "a bigint, b bigint, score double").dropDuplicates(["a", "b"])
+    return _compared(rows.withColumn("_g", F.xxhash64(*keys)), score, least).dropDuplicates(["a", "b"])
+
+
+def _compared(rows: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float) -> DataFrame:
+    """(a, b, score): the similar pairs of each (_g, _i, _j); many small groups go through one task, which holds one group at a time."""
+    compare = _compare(score, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            if not table.num_rows:
+                continue
+            key = np.stack([table[c].to_numpy() for c in ("_g", "_i", "_j")])
+            edges = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1]
+            found = [compare(table.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:]) if b - a > 1]
+            yield from pa.concat_tables(found).combine_chunks().to_batches(max_chunksize=100_000) if found else []
+            held = table.slice(edges[-1])
+        if held is not None and held.num_rows > 1:
+            yield from compare(held).to_batches(max_chunksize=100_000)
+
+    slim = rows.select("_g", F.col("_i").cast("long").alias("_i"), F.col("_j").cast("long").alias("_j"), "_low", "id", "vector")
+    return slim.repartition("_g", "_i", "_j").sortWithinPartitions("_g", "_i", "_j").mapInArrow(run, "a bigint, b bigint, score double")
 
 
 def _compare(score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float) -> Callable[[pa.Table], pa.Table]:
@@ -260,7 +281,7 @@ def cosine_pairs(members: DataFrame, id_col: str, vector: str, least: float, cel
     low = met.select(F.col("_i").alias("block"), "_i", "_j", F.lit(True).alias("_low"))
     high = met.filter("_i < _j").select(F.col("_j").alias("block"), "_i", "_j", F.lit(False).alias("_low"))
     sent = rows.join(low.unionByName(high), "block").select("_i", "_j", "_low", "id", "vector")
-    return sent.groupBy("_i", "_j").applyInArrow(_compare(cosines, least), "a bigint, b bigint, score double")
+    return _compared(sent.withColumn("_g", F.lit(0).cast("long")), cosines, least)
 
 
 def dedup_embeddings(df: DataFrame, id_col: str, vector: str, threshold: float = 0.95, mode: str = "any_earlier", cluster: str | None = None, k: int = 1000, cell: int = CELL) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many keys are handled as heavy, each sent with its number of salts to all tasks (some tens of MB at most). By counting, a key
-#: outside the TOP heaviest holds less than a millionth of the rows.
-TOP = 1_000_000
+#: At most so many keys are handled as heavy, each sent with its number of salts to all tasks (a few MB at most). By counting, a key
+#: outside the TOP heaviest holds less than a hundred-thousandth of the rows.
+TOP = 100_000
 #: Rows of one key that one task may take.
 CHUNK = 200_000
 
