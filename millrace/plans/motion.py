@@ -95,7 +95,13 @@ def resample_cubic(s: SparkSession, d: str) -> DataFrame:
 
 def _resampled(s: SparkSession, d: str, method: str) -> DataFrame:
     times = F.transform(F.sequence(F.lit(0), F.size("e") - 1), lambda i: i.cast("double"))
-    return _vectors(s, d).select("vec_id", F.transform(A.resample(times, F.col("e"), 2.0, method)["values"], lambda x: F.round(x, 6)).alias("values"))
+    return _vectors(s, d).select("vec_id", F.transform(A.resample(times, F.col("e"), 2.0, method)["values"], _round6).alias("values"))
+
+
+def _round6(x: F.Column) -> F.Column:
+    """To six decimals as SQL engines do it: the scaled double is rounded, and a zero keeps the sign of what was rounded."""
+    r = F.round(x * 1e6) / 1e6
+    return F.when(r == 0, F.signum(x) * 0.0).otherwise(r)
 
 
 @query("teleop_segments", """SELECT user_id, segment_start, segment_end FROM (SELECT user_id, t AS segment_start, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS segment_end FROM

@@ -25,3 +25,17 @@ def test_video_pixels(spark, tmp_path):
     pq.write_table(pa.table({"s_suppkey": np.arange(400)}), tmp_path / "supplier.parquet")
     got, want = both(spark, tmp_path, "video_frames", "supplier", "s_suppkey")
     assert got == want
+
+
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_resampled_values(spark, tmp_path, method):
+    """Small negative values round to a negative zero, values in the middle of two sixth decimals as in the SQL."""
+    x = np.random.default_rng(3).normal(size=(50, 64)).astype(np.float32)
+    x[:10] *= np.float32(1e-6)
+    x[10:20] = np.round(x[10:20] * 128) / 128 + np.float32(2.0**-7)
+    x[20, :4] = [-0.0, 0.0, -3e-7, 3e-7]
+    x[21, :4] = [2.0, np.inf, 1.0, -np.inf]
+    table = pa.table({"vec_id": np.arange(50), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    got, want = both(spark, tmp_path, f"resample_{method}", "embeddings", "vec_id")
+    assert got == want
