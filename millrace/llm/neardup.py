@@ -8,11 +8,15 @@ itself: a pair of nodes carries one partial overlap (as grams that are known to
 from the depth at which the shared gram stands, since all grams before it differ, and adds the bits in which the words
 of later bands differ, at most as many as the grams do. A pair of subtrees is left as soon as what remains of the sets can't make up for it. So no pair
 is lost, and what comes out is verified on the grams themselves.
+
+Below a gram with many paths hardly any two share a node. There the paths are sorted by size and by the depth of the gram,
+which bounds the partners of each, and compared tile by tile without lists of pairs; the bounds are the same.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +40,8 @@ CELL = 20_000
 HOT_SENT = 500_000
 #: Postings of one block, and pairs of nodes held at once.
 BLOCK_POSTINGS, WALK = 1_000_000, 300_000
+#: Paths under one gram from which on they are compared in tiles, paths in each class of size, pairs and rows of a tile.
+DENSE, CLASS, TILE, ROWS = 100, 200, 1 << 17, 64
 SLOTS = 64  # finest bands, and most of them
 RARE, RAREST = 255, 0.2  # the rarest grams, which make most prefixes, are a band of their own
 GRAM_BITS = 0.48  # least bits of the words for each gram
@@ -278,6 +284,16 @@ def _packed(posts: list[np.ndarray], uid: np.ndarray, sizes: np.ndarray, words:
     return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(payloads, pa.binary())], names=["block", "payload"])
 
 
+def _by_rows(words: np.ndarray) -> np.ndarray:
+    """The order of rows of words, as of lexsort: by the first word, and where that is the same by the others."""
+    by = np.argsort(words[:, 0])
+    first = words[by, 0]
+    same = first[1:] == first[:-1]
+    tied = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    by[tied] = by[tied][np.lexsort(words[by[tied]].T[::-1])]
+    return by
+
+
 @dataclass
 class Postings:
     """The postings of a block, and the sets they name: uid, size, and words by number of words."""
@@ -329,7 +345,7 @@ class Trees:
     and of its children on the next level.
     """
 
-    def __init__(self, block: Postings, bands: int, threshold: float, order: Order):
+    def __init__(self, block: Postings, bands: int, threshold: float, order: Order, dense: int = DENSE):
         self.block, self.width, self.threshold = block, bands + 1, threshold
         wide = bands_of(block.size)
         # the largest size with so many bands
@@ -345,7 +361,7 @@ class Trees:
                 n += len(own)
         self.sets = np.concatenate(tables) if tables else np.zeros((0, bands + 1), np.uint64)
         # rank of the word path of each set, so that one sort of whole numbers orders the postings
-        path = np.lexsort(self.sets.T[::-1])
+        path = _by_rows(self.sets)
         of = np.empty(len(path), np.int64)
         of[path] = np.arange(len(path))
         of_member = row[block.member]
@@ -385,16 +401,26 @@ class Trees:
         self.branch, self.size = branch[top], size[top]
         # the band of the shared gram: grams of the bands up to it may be among those before it
         self.band = level_of(order.slots(gram[top].astype(np.uint64) << np.uint64(32)), bands)
-        self.visits = 0
+        # the paths, their grams' branches, and the branches with many of them
+        paths = self.start[self.width]
+        self.path_size = block.size[block.member[at[paths]]]
+        self.path_words = np.ascontiguousarray(self.sets[self.row[paths]].T)
+        self.edges = np.r_[np.searchsorted(branch[paths], np.arange(branch[-1] + 1)), len(paths)] if len(at) else np.zeros(1, np.int64)
+        band = self.band[np.flatnonzero(np.diff(self.branch, prepend=-1))]
+        self.dense = (np.diff(self.edges) >= dense) & (band < bands)
+        self.path_band = np.repeat(band, np.diff(self.edges))
+        # pairs of nodes that were listed, and pairs of paths compared in tiles
+        self.visits = self.compared = 0
 
     def pairs(self, walk: int = WALK) -> Iterator[np.ndarray]:
         """Arrays of pairs of uids, ascending in a row, that may be similar."""
         if not len(self.at):
             return
+        yield from self._tiled(walk)
         t, size, depth = self.threshold, self.size, self.depth[0]
         # sizes up to which a partner's overlap may still be reached from this depth on
         reach = np.floor(np.minimum((size - depth) * ((1 + t) / t) - size, size / t) + _EPS).astype(np.int64)
-        reach = np.where(size > self.most, -1, reach)  # two larger sets meet in their own tree
+        reach = np.where((size > self.most) | self.dense[self.branch], -1, reach)  # two larger sets meet in their own tree
         span = int(max(size.max(), reach.max(initial=0))) + 2
         place = self.branch * span + size
         here = np.arange(len(size))
@@ -415,6 +441,88 @@ class Trees:
             yield from self._down(u, v, budget, budget, self.band[u], walk)
             lo = hi
 
+    def _tiled(self, walk: int) -> Iterator[np.ndarray]:
+        """The pairs of the branches with many paths."""
+        held, many = [], 0
+        for k in np.flatnonzero(self.dense):
+            for u, v in self._tiles(int(self.edges[k]), int(self.edges[k + 1])):
+                held.append((u, v))
+                many += len(u)
+                if many > walk:
+                    yield from self._finish(held)
+                    held, many = [], 0
+        yield from self._finish(held)
+
+    def _tiles(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the paths lo to hi of one gram whose first few words behind it leave them a chance."""
+        t, n = self.threshold, hi - lo
+        share = t / (1 + t)
+        size, depth = self.path_size[lo:hi], self.depth[self.width][lo:hi]
+        classes = -(-n // CLASS)
+        of = np.empty(n, np.int64)
+        of[np.argsort(size, kind="stable")] = np.arange(n) * classes // n
+        by = np.lexsort((depth, of))
+        edge = np.searchsorted(of[by], np.arange(classes + 1)).tolist()
+        size, depth, by = size[by], depth[by], by + lo
+        slack = 0.01 + size * 1e-6  # all bounds are rounded so that no pair is lost
+        # half of what two sets of this size may differ in, less the grams before the shared one
+        room = (size * (1 - 2 * share) - depth + slack).astype(np.float32)
+        # a set's grams from the shared one on, less its part of the least overlap: must hold the partner's part
+        rest = size * (1 - share) - depth + slack
+        words = self.path_words[int(self.path_band[lo]) + 1 :, by]
+        low, high = np.minimum.reduceat(size, edge[:-1]).tolist(), np.maximum.reduceat(size, edge[:-1]).tolist()
+        # of each class, the most of these from a path on, negated so that it ascends
+        least_room, least_rest = ([(-np.maximum.accumulate(x[a:b][::-1])[::-1]).tolist() for a, b in zip(edge, edge[1:])] for x in (room, rest))
+        for i in range(classes):
+            if low[i] > self.most:
+                break  # two larger sets meet in their own tree
+            for j in range(i, classes):
+                if t * low[j] > high[i] + _EPS:
+                    break
+                r, end = edge[i], edge[i] + bisect_right(least_rest[i], -share * low[j])
+                top = edge[j] + bisect_right(least_rest[j], -share * low[i])
+                while r < end:
+                    # the partners of a run of paths: those whose room makes up for the most of the run
+                    most = -least_room[i][r - edge[i]]
+                    first = r if i == j else edge[j]
+                    last = min(top, edge[j] + bisect_right(least_room[j], most))
+                    if last <= first:
+                        break
+                    s = min(end, r + max(1, min(ROWS, TILE // (last - first))))
+                    k = min(len(words), 3, 1 + max(0, int(most - least_room[j][0]) // 34))
+                    differ = np.bitwise_count(words[0, r:s, None] ^ words[0, None, first:last])
+                    for w in words[1:k]:
+                        differ += np.bitwise_count(w[r:s, None] ^ w[None, first:last])
+                    self.compared += differ.size
+                    x, y = np.divmod(np.flatnonzero(differ <= room[r:s, None] + room[None, first:last]), last - first)
+                    x, y = x + r, y + first
+                    if i == j:
+                        x, y = x[x <= y], y[x <= y]
+                    if len(x):
+                        yield by[x], by[y]
+                    r = s
+
+    def _finish(self, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        """From pairs of paths to pairs of sets, by all words."""
+        if not held:
+            return
+        u, v = (np.concatenate(x) for x in zip(*held))
+        self.visits += len(u)
+        t, size, depth = self.threshold, self.path_size, self.depth[self.width]
+        both, shared = size[u] + size[v], np.minimum(size[u] - depth[u], size[v] - depth[v])
+        least = np.ceil(t / (1 + t) * both - _EPS).astype(np.int64)
+        alive = np.flatnonzero((shared >= least) & (np.minimum(size[u], size[v]) <= self.most))
+        u, v, whole = u[alive], v[alive], (both - 2 * least)[alive]
+        behind, band = whole, self.path_band[u]
+        for level in reversed(range(self.width)):
+            differ = np.bitwise_count(self.path_words[level][u] ^ self.path_words[level][v]).astype(np.int64)
+            whole = whole - differ
+            behind = behind - np.where(band < level, differ, 0)
+            alive = np.flatnonzero((whole >= 0) & (behind >= depth[u] + depth[v]))
+            u, v, whole, behind, band = u[alive], v[alive], whole[alive], behind[alive], band[alive]
+        if len(u):
+            yield self._leaves(u, v, behind)
+
     def _down(self, u: np.ndarray, v: np.ndarray, behind: np.ndarray, whole: np.ndarray, band: np.ndarray, walk: int, level: int = 0) -> Iterator[np.ndarray]:
         """Go down with pairs of nodes. All grams before the shared one differ, and are not to be counted twice: `behind` is how many grams may
         still differ, less what differs in the bands behind that of the shared gram, `whole` less what differs in all bands."""

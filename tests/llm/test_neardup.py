@@ -153,3 +153,52 @@ def test_repeated_ids_long_texts_and_other_columns(spark):
     rows = [(1, long, 5), (2, long + " tail", 5), (2, long + " tail", 5), (None, long, 5), (3, None, 5)]
     df = spark.createDataFrame(rows, "id bigint, text string, uid int").selectExpr("*", "'x' as norm", "1 as n1", "'y' as raw")
     assert [tuple(r) for r in NearDuplicates(df).record_pairs().collect()] == [(1, 2)]
+
+
+def similar(texts):
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    return {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+
+
+@pytest.mark.parametrize("dense,size", [(2, 3), (2, 50), (30, 7)])
+def test_tiles_lose_no_pair(monkeypatch, dense, size):
+    """Copies with edits, of sizes on both sides of the bands, compared in tiles with classes of a few paths."""
+    from millrace.llm import neardup
+
+    monkeypatch.setattr(neardup, "CLASS", size)
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(40)]
+    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 8, 20, 30, 44, 46, 60, 90, 95) for _ in range(6)]
+    # some longer by a fifth, as far as sizes may be apart
+    texts = list(dict.fromkeys(base + [edited(rng, words, t) for t in base * 2] + [t + " " + t[: len(t) // 5][::-1] for t in base]))
+    block, _ = trees_of(texts)
+    order, _, _ = sets_of(texts)
+    found, tiled = set(), 0
+    for w in block.words:
+        tree = Trees(block, w, 0.8, order, dense=dense)
+        found |= {tuple(p) for part in tree.pairs(50) for p in part.tolist()}
+        tiled += tree.compared
+    want = similar(texts)
+    assert want <= found and len(want) > 50 and tiled
+
+
+def test_unrelated_sets_below_a_frequent_gram_are_not_listed_in_pairs():
+    """400 unrelated texts share their rarest grams; only what a first comparison leaves is listed."""
+    rng = random.Random(5)
+    texts = ["QZXVK " + "".join(rng.choice("abcdefghijklmnop ") for _ in range(250 + k % 40)) for k in range(400)]
+    texts[7] = texts[3] + "x"
+    at = np.ones(256, np.int64)
+    shared, _ = gram_sets(["QZXVK "])
+    at[(shared & np.uint64(255)).astype(np.int64)] = 0  # to the front of the order
+    order = Order.of(at)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["uid", "norm"])
+    none = Sent((np.empty(0, np.uint64), np.empty(0, np.int64)))
+    out = _postings(Sent(order), none, 5, 0.8, 20_000, 1, 1, 0)(iter([batch]))
+    block = Postings.unpack(iter([p for b in out for p in b.column(1).to_pylist()]))
+    trees = [Trees(block, w, 0.8, order) for w in block.words]
+    found = {tuple(p) for t in trees for part in t.pairs() for p in part.tolist()}
+    assert (3, 7) in found
+    # the 79,800 pairs share two grams at least; all listed they took 278,993 visits
+    assert sum(t.visits for t in trees) < 2 * 79_800
